@@ -1 +1,55 @@
+"""Online fits over a stream of triplet files: state is a table of counts by shard, a batch's shards go in natural order."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.sweep import Config
+from ..plans.fit import online_step
+from ..sources import natural
+
+
+def start_online(stream: DataFrame, terms: DataFrame, cfg: Config, out: str, checkpoint: str, niters: int = 1, omega: float = 1.0):
+    """A running query that fits each shard as it arrives and writes out/nw_hist/t=... and out/z/t=....
+
+    stream: shard, entry_id, doc_id, term_id, count; a shard must arrive within one batch. Shards at or before the last
+    one done, in natural order, are late and are left out. A batch that is run again overwrites its own shards.
+    """
+    spark = stream.sparkSession
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.persist()
+        done = known(spark, out)
+        last = natural(done[-1][1]) if done else []
+        for label in sorted((r.shard for r in df.select("shard").distinct().collect()), key=natural):
+            again = next((t for t, l in done if l == label), None)
+            if again is None and done and natural(label) <= last:
+                continue
+            t = len(done) if again is None else again
+            history = history_of(spark, out).where(F.col("t") < t) if t else None
+            state, own, _ = online_step(df.where(F.col("shard") == label), terms, cfg, t, history, niters, omega)
+            own.drop("t").withColumn("shard", F.lit(label)).write.mode("overwrite").parquet(f"{out}/nw_hist/t={t}")
+            state.write.mode("overwrite").parquet(f"{out}/z/t={t}")
+            if again is None:
+                done.append((t, label))
+                last = natural(label)
+        df.unpersist()
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def history_of(spark: SparkSession, out: str) -> DataFrame:
+    """(t, k, term_id, n) of the shards that are done."""
+    return spark.read.parquet(f"{out}/nw_hist").select("t", "k", "term_id", "n")
+
+
+def known(spark: SparkSession, out: str) -> list[tuple[int, str]]:
+    """(t, label) of the shards that are done."""
+    try:
+        rows = spark.read.parquet(f"{out}/nw_hist").select("t", "shard").distinct().collect()
+    except Exception as e:  # no shard has been written yet
+        if "PATH_NOT_FOUND" in str(e):
+            return []
+        raise
+    return sorted((r.t, r.shard) for r in rows)
