@@ -9,8 +9,8 @@ those as keys too. Sizes fall into bands of ratio 1/t; a document has the keys o
 Under a key, first every class meets the least one; links found so join classes to components. Keys that still hold
 several components go to count-vector R-trees: a class is the point of how many of its shingles fall into each of DIMS
 groups, a node keeps its points' coordinate maxima, and the sum over coordinates of the smaller of a query's count and
-the node's maximum bounds the overlap. Pairs that survive the same bound on points are verified on the sets, unless
-they are connected already. Large keys are searched in pairs of blocks.
+the node's maximum bounds the overlap. Pairs of different components that survive the same bound on points are verified
+on the sets. Large keys are searched in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .langid import slices
 from .rolling import Sums, mix
 
-DIMS = 32
+DIMS = 128
 FAN = 16
 #: Members of a key that one R-tree holds.
 TREE = 256
@@ -125,8 +126,18 @@ def keys(who: np.ndarray, h: np.ndarray, n: np.ndarray, t: int) -> tuple[np.ndar
     return np.concatenate(out_who), np.concatenate(out_key)
 
 
-def vector(h: np.ndarray) -> np.ndarray:
-    return np.bincount((h & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.int32)
+def vectors(who: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
+    """[texts, DIMS] counts of shingles by group."""
+    cell = who * DIMS + (h & np.uint64(DIMS - 1)).astype(np.int64)
+    return np.bincount(cell, minlength=texts * DIMS).reshape(texts, DIMS)
+
+
+def _point(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint16).astype(np.int32)
+
+
+def _points(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, DIMS).astype(np.int32)
 
 
 def enough(a, b, t: int):
@@ -175,33 +186,19 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def link_block(ids: list, comps: list, sets: list[np.ndarray], side: list[int], t: int) -> list[tuple]:
-    """Links (a, b) that join all classes of different components that the true links among members join. side: 0 or 1
-    for the two blocks, which are only compared with each other, or 2 for members of one block compared among themselves."""
-    root: dict = {}
-
-    def find(x):
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
-        return x
-
-    points = np.array([vector(s) for s in sets], np.int32).reshape(-1, DIMS)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    out = []
+def survivors(ids: list, comps: list, points: np.ndarray, sizes: np.ndarray, side: list[int], t: int) -> list[tuple]:
+    """Pairs (smaller, larger) of different components whose points allow a link. side: 0 or 1 for the two blocks, which
+    are only compared with each other, or 2 for members of one block compared among themselves."""
     held = [i for i in range(len(ids)) if side[i] != 1]
-    tree = RTree(points[held], sizes[held]) if held else None
+    if not held:
+        return []
+    tree, out = RTree(points[held], sizes[held]), []
     for j in range(len(ids)):
-        if side[j] == 0 or tree is None:
-            continue
-        for k in tree.search(points[j], int(sizes[j]), t):
-            i = held[k]
-            a, b = find(comps[i]), find(comps[j])
-            if i == j or a == b:
-                continue
-            if _overlap(sets[i], sets[j]) >= enough(int(sizes[i]), int(sizes[j]), t):
-                root[max(a, b)] = min(a, b)
-                out.append((ids[i], ids[j]))
+        if side[j]:
+            for k in tree.search(points[j], int(sizes[j]), t):
+                i = held[k]
+                if comps[i] != comps[j] and (side[j] == 1 or ids[i] < ids[j]):
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
     return out
 
 
@@ -224,7 +221,7 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
                 yield (b, who, h, *classes(who, h, len(texts)))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, _, _, n, c in read(batches):
+        for b, who, h, n, c in read(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(c.view(np.int64))], names=["doc_id", "n", "c"])
 
     sized = common.table(lean.mapInArrow(sizes, "doc_id long, n long, c long"), "ngram-sizes")
@@ -266,46 +263,57 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     met = common.table(met, "ngram-keys")  # a class under a key, with the least class of the key
     common.release(spark)
 
-    stars = met.groupBy("c", "least").agg(F.count(F.lit(1)).alias("shared"))
-    a, b = nodes.select(F.col("c").alias("least"), F.col("node").alias("a"), F.col("n").alias("na")), nodes.select("c", F.col("node").alias("b"), F.col("n").alias("nb"))
-    near = common.table(stars.join(b, "c").join(a, "least").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold).select("a", "b").distinct(), "ngram-stars")
     asked = met.select("c").union(met.select(F.col("least").alias("c"))).distinct().join(nodes, "c").select(F.col("node").alias("doc_id"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, who, h, n, c in read(batches):
             ends = np.cumsum(n)
             blobs = [h[e - k : e].tobytes() for k, e in zip(n, ends)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(c.view(np.int64)), pa.array(blobs, pa.binary())], names=["node", "c", "hashes"])
+            points = [v.tobytes() for v in np.minimum(vectors(who, h, len(n)), 65535).astype(np.uint16)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(c.view(np.int64)), pa.array(blobs, pa.binary()), pa.array(points, pa.binary())], names=["node", "c", "hashes", "point"])
 
     asked = common.table(asked, "ngram-asked")
-    got = lean.join(asked, "doc_id").mapInArrow(sets_of, "node long, c long, hashes binary")
-    sets = common.table(got.join(nodes.select("node", "c"), ["node", "c"]).dropDuplicates(["node"]).select("node", "hashes"), "ngram-sets")
+    got = lean.join(asked, "doc_id").mapInArrow(sets_of, "node long, c long, hashes binary, point binary")
+    kept = got.join(nodes, ["node", "c"])  # of rows that repeat an id, those of the class; each once
+    kept = common.table(kept.withColumn("_k", F.row_number().over(Window.partitionBy("node").orderBy("c"))).where("_k = 1").select("node", "n", "hashes", "point"), "ngram-sets")
+    points, sets = kept.select("node", "n", "point"), kept.select("node", "hashes")
     common.release(spark)
 
-    # a star's centre goes to each salt of its leaves once
-    leaves = near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
-    fan = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.greatest(F.lit(1), F.ceil(F.col("n") / 64)).alias("parts"))
-    leaves = leaves.join(fan, "a").withColumn("salt", F.col("salt") % F.col("parts"))
-    centres = leaves.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
-    leaves = leaves.select("a", "salt", "b").join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "hashes")
-
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, of, point = None, None, None
-        for batch in batches:
-            out_a, out_b = [], []
-            for a, b, blob in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "hashes"))):
-                own = np.frombuffer(blob, np.uint64)
-                if b is None:
-                    centre, of, point = own, a, vector(own)
-                elif of == a:
-                    need = enough(len(centre), len(own), threshold)
-                    if np.minimum(point, vector(own)).sum() >= need and _overlap(centre, own) >= need:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = _points(b.column("p").to_pylist()), _points(b.column("q").to_pylist())
+                n = b.column("na").to_numpy() + b.column("nb").to_numpy()
+                yield b.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1) >= enough(0, n, threshold)))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Those of distinct pairs (a, b) that link. The set of an a goes to each salt of its partners once."""
+        fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.greatest(F.lit(1), F.ceil(F.col("n") / 64)).alias("parts"))
+        leaves = common.table(pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt")), "ngram-pairs")
+        centres = leaves.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
+        leaves = leaves.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "hashes")
+
+        def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centre, of = None, None
+            for batch in batches:
+                out_a, out_b = [], []
+                for a, b, blob in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "hashes"))):
+                    own = np.frombuffer(blob, np.uint64)
+                    if b is None:
+                        centre, of = own, a
+                    elif of == a and _overlap(centre, own) >= enough(len(centre), len(own), threshold):
                         out_a.append(a)
                         out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+        rows = centres.unionByName(leaves).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        return common.table(rows.select("a", "b", "hashes").mapInArrow(star, "a long, b long"), "ngram-links")
 
-    pairs = centres.unionByName(leaves).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    links = common.table(pairs.select("a", "b", "hashes").mapInArrow(star, "a long, b long"), "ngram-links")
+    of = lambda side, point: points.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(point))
+    ids = nodes.select("c", "node")
+    stars = met.select("c", "least").distinct().join(ids.withColumnRenamed("node", "b"), "c").join(ids.select(F.col("c").alias("least"), F.col("node").alias("a")), "least").select("a", "b")
+    stars = common.table(stars.join(of("a", "p"), "a").join(of("b", "q"), "b").mapInArrow(bound, "a long, b long"), "ngram-stars")
+    links = verify(stars)
     roots = common.components(links, "a", "b")
     common.release(spark)
 
@@ -319,17 +327,18 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     more = member.join(alive, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
     more = more.select("key", "node", "comp", "block", F.explode(each).alias("pair")).select("key", "node", "comp", "pair.x", "pair.y", F.when(F.col("pair.x") == F.col("pair.y"), 2).when(F.col("block") == F.col("pair.x"), 0).otherwise(1).alias("side"))
-    more = common.table(more.join(sets, "node"), "ngram-trees")
+    more = more.join(points, "node")
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
 
         def solve() -> pa.RecordBatch:
-            got = link_block([r[0] for r in held], [r[1] for r in held], [np.frombuffer(r[3], np.uint64) for r in held], [r[2] for r in held], threshold) if len({r[1] for r in held}) > 1 else []
+            columns = list(zip(*held))
+            got = survivors(columns[0], columns[1], _points(columns[4]), np.array(columns[3]), columns[2], threshold) if len(set(columns[1])) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for k, x, y, *r in zip(*(batch.column(n).to_pylist() for n in ("key", "x", "y", "node", "comp", "side", "hashes"))):
+            for k, x, y, *r in zip(*(batch.column(n).to_pylist() for n in ("key", "x", "y", "node", "comp", "side", "n", "point"))):
                 if of != (k, x, y):
                     if held:
                         yield solve()
@@ -338,10 +347,12 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
         if held:
             yield solve()
 
-    trees = more.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(forest, "a long, b long")
-    later = common.table(trees.distinct(), "ngram-later")
+    trees = more.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(forest, "a long, b long").distinct()
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    later = common.table(trees.join(tried, ["a", "b"], "left_anti"), "ngram-later")
+    common.release(spark)
     if not later.isEmpty():
-        roots = common.components(links.union(later), "a", "b")
+        roots = common.components(links.union(verify(later)), "a", "b")
     final = common.table(nodes.join(roots, "node", "left").select("c", F.coalesce("root", "node").alias("component")), "ngram-roots")
     common.release(spark)
     out = sized.where("n > 0").join(final, "c", "left").select("doc_id", "n", "component").union(sized.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
