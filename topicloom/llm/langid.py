@@ -203,11 +203,11 @@ def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
 
     Every byte of a text gets label probabilities; score is the mean of the winner's over the text, n_agree the number
     of bytes labelled so. `und` with score 0 if text is null or has no letter, or nothing was learnt. Rows are
-    independent: repeated rows get equal results, and an empty table gives none.
+    independent: repeated rows get equal results, and an empty table gives none. Columns with the results' names are replaced.
     """
     from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-    docs = docs.withColumn("_ok", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    docs = docs.drop("_ok", "lang_pred", "score", "n_bytes", "n_agree").withColumn("_ok", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = StructType(list(docs.drop("_ok").schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("n_bytes", LongType()).add("n_agree", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,9 +65,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     Sources in code point order, null last, get the weights in turn. _taken is 0, 1 or 2 times _size: documents are
     taken whole. A document without words is taken as often as others of its place; it counts no words. Rows with
     equal ids share their place, so they are taken alike. Each run gives the same rows. The driver holds a row for each
-    source and at most about NEAR documents of each. An empty table gives an empty one.
+    source and at most a few times NEAR documents of each. An empty table gives an empty one. Columns whose names start with
+    an underscore are dropped.
     """
     spark = docs.sparkSession
+    docs = docs.select(*(c for c in docs.columns if not c.startswith("_")))
     place = F.xxhash64("doc_id", F.lit(seed))
     sized = common.table(docs.select("source", place.alias("h"), common.words("text").alias("size")), "mix-sizes")
     prefix = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 64 - BITS)  # order of h as a signed number

@@ -6,8 +6,9 @@ hash into more groups than that, some group is equal in both: the hashes of grou
 meet. Groups without shingles say nothing, so there are a few groups more, and a document with many empty groups keeps
 those as keys too. Sizes fall into bands of ratio 1/t; a document has the keys of its band and of the next one.
 
-Under a key, first every class meets the least one; links found so join classes to components. Keys that still hold
-several components go to count-vector R-trees: a class is the point of how many of its shingles fall into each of DIMS
+Under a key, first every class meets the one that has most keys in common with others, the original of many copies for
+one; links found so join classes to components. Once more each key's members meet the one with most keys outside the
+first one's component. Keys that still hold several components go to count-vector R-trees: a class is the point of how many of its shingles fall into each of DIMS
 groups, a node keeps its points' coordinate maxima, and the sum over coordinates of the smaller of a query's count and
 the node's maximum bounds the overlap. Pairs of different components that survive the same bound on points are verified
 on the sets. Large keys are searched in pairs of blocks.
@@ -15,6 +16,7 @@ on the sets. Large keys are searched in pairs of blocks.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -28,10 +30,13 @@ from . import common
 from .langid import slices
 from .rolling import Sums, mix
 
+log = logging.getLogger("topicloom")
 DIMS = 128
 FAN = 16
 #: Members of a key that one R-tree holds.
 TREE = 256
+#: Rounds in which the members of a key meet one of them.
+STARS = 2
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -310,17 +315,31 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
         return common.table(rows.select("a", "b", "hashes").mapInArrow(star, "a long, b long"), "ngram-links")
 
     of = lambda side, point: points.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(point))
-    ids = nodes.select("c", "node")
-    stars = met.select("c", "least").distinct().join(ids.withColumnRenamed("node", "b"), "c").join(ids.select(F.col("c").alias("least"), F.col("node").alias("a")), "least").select("a", "b")
-    stars = common.table(stars.join(of("a", "p"), "a").join(of("b", "q"), "b").mapInArrow(bound, "a long, b long"), "ngram-stars")
-    links = verify(stars)
-    roots = common.components(links, "a", "b")
-    common.release(spark)
+    tried = common.table(spark.createDataFrame([], "a long, b long"), "ngram-tried")
+    links, roots = tried, nodes.limit(0).select("node", F.col("node").alias("root"))
+    named = met.select("key", "c").union(met.select("key", F.col("least").alias("c")).distinct()).join(nodes.select("c", "node"), "c").select("key", "node")
+    named = common.table(named, "ngram-members")
+    fame = common.table(named.groupBy("node").agg(F.count(F.lit(1)).alias("fame")), "ngram-fame")
+    for _ in range(STARS):
+        member = named.join(fame, "node").join(roots, "node", "left").select("key", "node", "fame", F.coalesce("root", "node").alias("comp"))
+        member = common.table(member, "ngram-fame")
+        heads = member.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("fame", "node")).alias("h")).select("key", F.col("h.node").alias("h"), F.col("h.comp").alias("hc"))
+        heads = common.table(heads, "ngram-heads")
+        # the first time the head meets all; later its component is done, and the next head outside it meets all others
+        if roots.isEmpty():
+            pairs = member.join(heads, "key").where("node <> h")
+        else:
+            outside = member.join(heads, "key").where("comp <> hc")
+            second = common.table(outside.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("fame", "node")).alias("g")), "ngram-heads")
+            pairs = member.join(second.select("key", F.col("g.node").alias("h"), F.col("g.comp").alias("hc")), "key").where("comp <> hc")
+        pairs = common.table(pairs.select(F.col("h").alias("a"), F.col("node").alias("b")).distinct().join(of("a", "p"), "a").join(of("b", "q"), "b").mapInArrow(bound, "a long, b long"), "ngram-stars")
+        links = common.table(links.union(verify(pairs)), "ngram-links")
+        tried = common.table(tried.union(pairs), "ngram-tried")
+        roots = common.components(links, "a", "b")
+        common.release(spark)
 
     # keys that hold several components
-    member = met.select("key", "c").union(met.select("key", F.col("least").alias("c")).distinct())
-    named = nodes.select("c", "node").join(roots, "node", "left").select("c", "node", F.coalesce("root", "node").alias("comp"))
-    member = common.table(member.join(named, "c").select("key", "node", "comp"), "ngram-members")
+    member = common.table(named.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp")), "ngram-members")
     seen = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.hash(F.col("node"), F.lit(1)).cast("long")).alias("s1"), F.sum(F.hash(F.col("node"), F.lit(2)).cast("long")).alias("s2"))
     alive = seen.where("lo <> hi").groupBy("m", "s1", "s2").agg(F.min("key").alias("key"))  # equal member sets once
     alive = common.table(alive.select("key", F.ceil(F.col("m") / TREE).cast("int").alias("blocks")), "ngram-open")
@@ -348,9 +367,10 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
             yield solve()
 
     trees = more.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(forest, "a long, b long").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     later = common.table(trees.join(tried, ["a", "b"], "left_anti"), "ngram-later")
     common.release(spark)
+    log.info("pairs for verification: %d", later.count())
     if not later.isEmpty():
         roots = common.components(links.union(verify(later)), "a", "b")
     final = common.table(nodes.join(roots, "node", "left").select("c", F.coalesce("root", "node").alias("component")), "ngram-roots")

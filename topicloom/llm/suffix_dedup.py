@@ -155,10 +155,12 @@ def remove(docs: DataFrame, length: int = 200, as_text: bool = False) -> DataFra
 
     A string counts as repeated if it starts anywhere else, in the same text too; matches stay within a text, overlaps
     count, and strings are judged on the input. A null text counts as empty, shorter texts keep all. Rows with equal texts
-    repeat each other. An empty table gives no rows. Equality of strings of 40 bytes and of contexts is decided by 64-bit
+    repeat each other. An empty table gives no rows. Columns with the names of results or of helpers (_uid, sure, asks,
+    checked) are dropped. Equality of strings of 40 bytes and of contexts is decided by 64-bit
     hashes, of other strings by their bytes, but where more than CROWD contexts share an anchor.
     """
     spark = docs.sparkSession
+    docs = docs.drop("_uid", "sure", "asks", "checked", "n_bytes", "n_removed", "n_spans", "kept")
     docs = docs.withColumn("_uid", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     lean = docs.select("_uid", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
