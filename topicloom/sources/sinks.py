@@ -23,7 +23,7 @@ def dense_csv(counts: DataFrame, row: str, column: str, value: str, columns: int
 
 def read_fixed_counts(spark, path: str) -> DataFrame:
     """(k, term_id, n) from lines of comma-parted counts without header; the line's place in the file is k."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split(F.regexp_replace(F.rtrim("value"), "\r", ""), "\n")).alias("k", "line"))
     cells = lines.where(F.trim("line") != "").select("k", F.posexplode(F.split("line", ",")).alias("term_id", "x"))
     return cells.select("k", "term_id", F.trim("x").cast("double").cast("long").alias("n"))
