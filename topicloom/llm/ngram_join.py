@@ -280,7 +280,8 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     asked = common.table(asked, "ngram-asked")
     got = lean.join(asked, "doc_id").mapInArrow(sets_of, "node long, c long, hashes binary, point binary")
     kept = got.join(nodes, ["node", "c"])  # of rows that repeat an id, those of the class; each once
-    kept = common.table(kept.withColumn("_k", F.row_number().over(Window.partitionBy("node").orderBy("c"))).where("_k = 1").select("node", "n", "hashes", "point"), "ngram-sets")
+    with common.wide_rows(spark):
+        kept = common.table(kept.withColumn("_k", F.row_number().over(Window.partitionBy("node").orderBy("c"))).where("_k = 1").select("node", "n", "hashes", "point"), "ngram-sets")
     points, sets = kept.select("node", "n", "point"), kept.select("node", "hashes")
     common.release(spark)
 
@@ -302,17 +303,18 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
             centre, of = None, None
             for batch in batches:
                 out_a, out_b = [], []
-                for a, b, blob in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "hashes"))):
-                    own = np.frombuffer(blob, np.uint64)
+                for a, b, blob in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("hashes")):
+                    own = np.frombuffer(blob.as_buffer(), np.uint64)
                     if b is None:
-                        centre, of = own, a
+                        centre, of = own.copy(), a
                     elif of == a and _overlap(centre, own) >= enough(len(centre), len(own), threshold):
                         out_a.append(a)
                         out_b.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
         rows = centres.unionByName(leaves).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return common.table(rows.select("a", "b", "hashes").mapInArrow(star, "a long, b long"), "ngram-links")
+        with common.wide_rows(spark):
+            return common.table(rows.select("a", "b", "hashes").mapInArrow(star, "a long, b long"), "ngram-links")
 
     of = lambda side, point: points.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(point))
     tried = common.table(spark.createDataFrame([], "a long, b long"), "ngram-tried")
