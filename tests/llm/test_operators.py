@@ -293,3 +293,22 @@ def test_ngram_join(docs, empty, width, threshold):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), find(i)) for i, s in sets.items()}
     if width == 4:
         assert ngram_join.join(empty).count() == 0
+
+
+def test_fine_vectors_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for a, b in ((40, 700), (3000, 2900), (2500, 90), (5000, 5000)):
+        both = rng.integers(0, 1 << 63, 2 * (a + b), dtype=np.uint64)
+        x, y = np.unique(both[:a]), np.unique(both[a // 3 : a // 3 + b])
+        bound = ngram_join.fine_bound(ngram_join.fine_vector(x), ngram_join.fine_vector(y))
+        assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
+
+
+def test_ngram_join_of_large_sets(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 6000)]
+    other = [f"v{k}" for k in rng.integers(0, 10**6, 6000)]
+    near, half = words[:2900] + ["x"] + words[2900:3000], words[:1500] + other[:1500]
+    texts = [words[:3000], near, half, other[1500:4500], words[100:3000], words[3000:]]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.join(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 0, 5: 5}

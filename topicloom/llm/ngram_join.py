@@ -10,8 +10,9 @@ Under a key, first every class meets the one that has most keys in common with o
 one; links found so join classes to components. Once more each key's members meet the one with most keys outside the
 first one's component. Keys that still hold several components go to count-vector R-trees: a class is the point of how many of its shingles fall into each of DIMS
 groups, a node keeps its points' coordinate maxima, and the sum over coordinates of the smaller of a query's count and
-the node's maximum bounds the overlap. Pairs of different components that survive the same bound on points are verified
-on the sets. Large keys are searched in pairs of blocks.
+the node's maximum bounds the overlap. Pairs of different components that survive the same bound on points meet it once
+more on vectors with groups in proportion to the set, as 128 groups say little of a large set, and are then verified on
+the sets. Large keys are searched in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -137,8 +138,19 @@ def vectors(who: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
     return np.bincount(cell, minlength=texts * DIMS).reshape(texts, DIMS)
 
 
-def _point(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint16).astype(np.int32)
+def fine_vector(h: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles in so many groups that one has four of them at most on average, DIMS at least."""
+    dims = DIMS
+    while dims * 4 < len(h):
+        dims *= 2
+    return np.bincount((h & np.uint64(dims - 1)).astype(np.int64), minlength=dims).astype(np.uint16)
+
+
+def fine_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """The most shingles that two sets with these fine vectors have in common; groups of the longer one are added up."""
+    dims = min(len(x), len(y))
+    x, y = (v.astype(np.int64).reshape(-1, dims).sum(axis=0) for v in (x, y))
+    return int(np.minimum(x, y).sum())
 
 
 def _points(blobs: list[bytes]) -> np.ndarray:
@@ -275,16 +287,20 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
             ends = np.cumsum(n)
             blobs = [h[e - k : e].tobytes() for k, e in zip(n, ends)]
             points = [v.tobytes() for v in np.minimum(vectors(who, h, len(n)), 65535).astype(np.uint16)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(c.view(np.int64)), pa.array(blobs, pa.binary()), pa.array(points, pa.binary())], names=["node", "c", "hashes", "point"])
+            fine = [fine_vector(h[e - k : e]).tobytes() for k, e in zip(n, ends)]
+            cols = [b.column("doc_id"), pa.array(c.view(np.int64)), *(pa.array(x, pa.binary()) for x in (blobs, points, fine))]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "c", "hashes", "point", "fine"])
 
     asked = common.table(asked, "ngram-asked")
-    got = lean.join(asked, "doc_id").mapInArrow(sets_of, "node long, c long, hashes binary, point binary")
+    got = lean.join(asked, "doc_id").mapInArrow(sets_of, "node long, c long, hashes binary, point binary, fine binary")
     kept = got.join(nodes, ["node", "c"])  # of rows that repeat an id, those of the class; each once
     with common.wide_rows(spark):
-        kept = common.table(kept.withColumn("_k", F.row_number().over(Window.partitionBy("node").orderBy("c"))).where("_k = 1").select("node", "n", "hashes", "point"), "ngram-sets")
+        kept = common.table(kept.withColumn("_k", F.row_number().over(Window.partitionBy("node").orderBy("c"))).where("_k = 1").select("node", "n", "hashes", "point", "fine"), "ngram-sets")
     points, sets = kept.select("node", "n", "point"), kept.select("node", "hashes")
     common.release(spark)
 
+    of = lambda side, name, point="point": kept.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col(point).alias(name))
+
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -292,8 +308,18 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
                 n = b.column("na").to_numpy() + b.column("nb").to_numpy()
                 yield b.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1) >= enough(0, n, threshold)))
 
+    def sharpen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            need = enough(0, b.column("na").to_numpy() + b.column("nb").to_numpy(), threshold)
+            vector = lambda v: np.frombuffer(v.as_buffer(), np.uint16)
+            keep = [fine_bound(vector(x), vector(y)) >= k for x, y, k in zip(b.column("p"), b.column("q"), need)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def verify(pairs: DataFrame) -> DataFrame:
         """Those of distinct pairs (a, b) that link. The set of an a goes to each salt of its partners once."""
+        with common.wide_rows(spark):
+            pairs = common.table(pairs.join(of("a", "p", "fine"), "a").join(of("b", "q", "fine"), "b").mapInArrow(sharpen, "a long, b long"), "ngram-pairs")
+        common.release(spark)
         fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.greatest(F.lit(1), F.ceil(F.col("n") / 64)).alias("parts"))
         leaves = common.table(pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt")), "ngram-pairs")
         centres = leaves.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
@@ -316,7 +342,6 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
         with common.wide_rows(spark):
             return common.table(rows.select("a", "b", "hashes").mapInArrow(star, "a long, b long"), "ngram-links")
 
-    of = lambda side, point: points.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(point))
     tried = common.table(spark.createDataFrame([], "a long, b long"), "ngram-tried")
     links, roots = tried, nodes.limit(0).select("node", F.col("node").alias("root"))
     named = met.select("key", "c").union(met.select("key", F.col("least").alias("c")).distinct()).join(nodes.select("c", "node"), "c").select("key", "node")
