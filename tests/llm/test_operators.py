@@ -302,6 +302,8 @@ def test_fine_vectors_bound_the_overlap():
         x, y = np.unique(both[:a]), np.unique(both[a // 3 : a // 3 + b])
         bound = ngram_join.fine_bound(ngram_join.fine_vector(x), ngram_join.fine_vector(y))
         assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
+    crowded = ngram_join.fine_vector(np.arange(300, dtype=np.uint64) << np.uint64(20))
+    assert not len(crowded) and ngram_join.fine_bound(crowded, ngram_join.fine_vector(x)) >= 300
 
 
 def test_ngram_join_of_large_sets(spark):

@@ -139,16 +139,20 @@ def vectors(who: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
 
 
 def fine_vector(h: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles in so many groups that one has four of them at most on average, DIMS at least."""
+    """Counts of a set's shingles in so many groups that one has eight of them at most on average, DIMS at least. Empty,
+    which bounds nothing, if a count does not fit a byte."""
     dims = DIMS
-    while dims * 4 < len(h):
+    while dims * 8 < len(h):
         dims *= 2
-    return np.bincount((h & np.uint64(dims - 1)).astype(np.int64), minlength=dims).astype(np.uint16)
+    count = np.bincount((h & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
+    return count.astype(np.uint8) if count.max() < 256 else np.zeros(0, np.uint8)
 
 
 def fine_bound(x: np.ndarray, y: np.ndarray) -> int:
     """The most shingles that two sets with these fine vectors have in common; groups of the longer one are added up."""
     dims = min(len(x), len(y))
+    if not dims:
+        return np.iinfo(np.int64).max
     x, y = (v.astype(np.int64).reshape(-1, dims).sum(axis=0) for v in (x, y))
     return int(np.minimum(x, y).sum())
 
@@ -311,7 +315,7 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     def sharpen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             need = enough(0, b.column("na").to_numpy() + b.column("nb").to_numpy(), threshold)
-            vector = lambda v: np.frombuffer(v.as_buffer(), np.uint16)
+            vector = lambda v: np.frombuffer(v.as_buffer(), np.uint8)
             keep = [fine_bound(vector(x), vector(y)) >= k for x, y, k in zip(b.column("p"), b.column("q"), need)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
