@@ -202,26 +202,42 @@ def test_nearest(spark):
     assert nearest.search(codes, coder, codes).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [512, 1])
-def test_suffix_dedup(docs, empty, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+def check_suffix_dedup(df, rows):
     length, grams = 200, collections.Counter()
-    texts = [(r[1] or "").encode() for r in corpus()]
-    for t in texts:
+    for _, t in rows:
         grams.update(t[p : p + length] for p in range(len(t) - length + 1))
     want = collections.Counter()
-    for r, t in zip(corpus(), texts):
+    for i, t in rows:
         gone = np.zeros(len(t), bool)
         for p in range(len(t) - length + 1):
             if grams[t[p : p + length]] > 1:
                 gone[p : p + length] = True
         spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-        want[r[0], len(t), int(gone.sum()), spans, bytes(np.frombuffer(t, np.uint8)[~gone])] += 1
-    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove(docs).collect())
+        want[i, len(t), int(gone.sum()), spans, bytes(np.frombuffer(t, np.uint8)[~gone])] += 1
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove(df).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("crowd", [512, 1])
+def test_suffix_dedup(docs, empty, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    check_suffix_dedup(docs, [(r[0], (r[1] or "").encode()) for r in corpus()])
     assert suffix_dedup.remove(empty).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [512, 1])
+def test_suffix_dedup_of_passages_cut_anywhere(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    rng = np.random.default_rng(7)
+    say = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, texts = say(900), []
+    for _ in range(60):
+        at = int(rng.integers(0, 700))
+        texts.append(say(int(rng.integers(0, 150))) + passage[at : at + int(rng.integers(190, 420))] + say(int(rng.integers(0, 150))))
+    rows = list(enumerate(texts + texts[:3]))
+    check_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), [(i, t.encode()) for i, t in rows])
+
+
 def test_repeated_grams_of_a_block():
     rng = np.random.default_rng(6)
     block = rng.integers(97, 99, 3000).astype(np.uint8)

@@ -31,8 +31,10 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 PART, BLOCK = 1 << 19, 1 << 20
 #: Suffixes of a bucket.
 BUCKET = 1 << 18
-#: Contexts of an anchor that are sorted in one block; of more, each gram is counted by its hash instead.
-CROWD = 512
+#: Contexts of an anchor that are sorted in one block; of more, grams are counted by their hashes instead: first those of
+#: STRETCH neighbouring starts as one, by all bytes that they cover (if equal, all are repeated) and by those that they
+#: share (if not equal, none is), then the grams of stretches that this leaves open.
+CROWD, STRETCH = 512, 16
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -241,29 +243,62 @@ def remove(docs: DataFrame, length: int = 200, as_text: bool = False) -> DataFra
 
     few = pieces.where(F.col("size") <= CROWD).drop("size").repartition("h").sortWithinPartitions("h", "uid", "lo").mapInArrow(sort, answer)
 
+    def places(part: pa.RecordBatch) -> tuple:
+        """Sums of the contexts, where their anchors lie in them, and the least and largest distance of a start to it."""
+        size = np.array([len(c) for c in part.column("context").to_pylist()], np.int64)
+        most = part.column("anchor").to_numpy() - part.column("lo").to_numpy()
+        sums = Sums(np.frombuffer(b"".join(part.column("context").to_pylist()), np.uint8))
+        return sums, np.cumsum(size) - size + most, most - (size - length), most
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sums, anchor, least, most = places(part)
+                count = most // STRETCH - least // STRETCH + 1
+                k = np.repeat(np.arange(len(count)), count)
+                j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + (least // STRETCH)[k]
+                near, far = j * STRETCH, j * STRETCH + STRETCH - 1
+                whole = (near >= least[k]) & (far <= most[k])
+                shared = mix(sums.hash(anchor[k] - near, anchor[k] - far + length) + j.astype(np.uint64))
+                every = np.zeros(len(j), np.uint64)
+                every[whole] = mix(sums.hash((anchor[k] - far)[whole], (anchor[k] - near + length)[whole]) + j[whole].astype(np.uint64))
+                cols = [pa.array(every.view(np.int64), mask=~whole), pa.array(shared.view(np.int64)), pa.array(j)]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(part.column(n).to_numpy()[k]) for n in ("h", "n", "uid", "lo", "anchor")], names=["every", "shared", "j", "h", "n", "uid", "lo", "anchor"])
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                contexts = part.column("context").to_pylist()
-                sums = Sums(np.frombuffer(b"".join(contexts), np.uint8))
-                size = np.array([len(c) for c in contexts], np.int64)
-                count = size - length + 1
-                begin = np.cumsum(size) - size
-                inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                p = inner + np.repeat(begin, count)
-                key = sums.hash(p, p + length).view(np.int64)
-                cols = [key] + [np.repeat(part.column(n).to_numpy(), count) for n in ("n", "uid", "lo")]
-                cols[3] = cols[3] + inner
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "n", "uid", "lo"])
-
-    crowd = pieces.where(F.col("size") > CROWD).dropDuplicates(["h", "uid", "lo"]).select("n", "uid", "lo", "context")
-    exploded = crowd.mapInArrow(grams, "g long, n long, uid long, lo long")
+                sums, anchor, least, most = places(part)
+                held = part.column("open").to_pylist()
+                k = np.repeat(np.arange(len(held)), [STRETCH * len(x) for x in held])
+                j, mark = (np.repeat(np.array([y[n] for x in held for y in x], kind), STRETCH) for n, kind in (("j", np.int64), ("mark", bool)))
+                d = j * STRETCH + np.arange(len(j)) % STRETCH
+                own = (d >= least[k]) & (d <= most[k])
+                k, d = k[own], d[own]
+                key = sums.hash(anchor[k] - d, anchor[k] - d + length)
+                cols = [key.view(np.int64), mark[own], part.column("uid").to_numpy()[k], part.column("anchor").to_numpy()[k] - d]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "mark", "uid", "lo"])
+
     if asked.where(F.col("size") > CROWD).isEmpty():
         many = spark.createDataFrame([], answer)
     else:
-        twice = common.table(exploded.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "grams")
-        many = exploded.where("n = 1").join(twice, "g").select("uid", "lo", F.col("lo").alias("hi"))
+        crowd = common.table(pieces.where(F.col("size") > CROWD).dropDuplicates(["h", "uid", "lo"]).drop("size"), "crowds")
+        cells = common.table(crowd.mapInArrow(stretches, "every long, shared long, j long, h long, n long, uid long, lo long, anchor long"), "stretches")
+        alike = cells.where("every is not null").groupBy("every").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("h", "uid", "lo", "j", "shared")).alias("one"))
+        alike = common.table(alike.where("m > 1").select("every", "one"), "equal-stretches")
+        runs = cells.where("n = 1").join(alike.select("every"), "every")
+        runs = runs.select("uid", (F.col("anchor") - F.col("j") * STRETCH - (STRETCH - 1)).alias("lo"), (F.col("anchor") - F.col("j") * STRETCH).alias("hi"))
+        # where not all is equal grams are compared, also with one of each kind of equal stretches
+        partly = cells.groupBy("shared").agg(F.count(F.lit(1)).alias("m"), F.count("every").alias("whole"), F.min("every").alias("a"), F.max("every").alias("z"))
+        partly = common.table(partly.where("m > 1 and (whole < m or a <> z)").select("shared"), "shared-stretches")
+        rest = cells.join(alike.select("every"), "every", "left_anti").select("h", "uid", "lo", "j", "shared", (F.col("n") == 1).alias("mark"))
+        rest = rest.union(alike.select("one.*", F.lit(False).alias("mark"))).join(partly, "shared", "left_semi")
+        rest = rest.groupBy("h", "uid", "lo").agg(F.collect_list(F.struct("j", "mark")).alias("open"))
+        exploded = common.table(crowd.join(rest, ["h", "uid", "lo"]).mapInArrow(grams, "g long, mark boolean, uid long, lo long"), "grams")
+        twice = exploded.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g")
+        many = runs.union(exploded.where("mark").join(twice, "g").select("uid", "lo", F.col("lo").alias("hi")))
     found_ = few.union(many).groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(F.struct("lo", "hi")).alias("checked"))
     found_ = common.table(found_, "checked-grams")
     common.release(spark)
