@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 from .langid import slices
@@ -284,22 +283,27 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     met = common.table(met, "ngram-keys")  # a class under a key, with the least class of the key
     common.release(spark)
 
-    asked = met.select("c").union(met.select(F.col("least").alias("c"))).distinct().join(nodes, "c").select(F.col("node").alias("doc_id"))
+    asked = met.select("c").union(met.select(F.col("least").alias("c"))).distinct().join(nodes, "c").groupBy(F.col("node").alias("doc_id")).agg(F.min("c").alias("want"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by id: the first of each id whose set is of the class that is asked for."""
+        last = None
         for b, who, h, n, c in read(batches):
-            ends = np.cumsum(n)
-            blobs = [h[e - k : e].tobytes() for k, e in zip(n, ends)]
-            points = [v.tobytes() for v in np.minimum(vectors(who, h, len(n)), 65535).astype(np.uint16)]
-            fine = [fine_vector(h[e - k : e]).tobytes() for k, e in zip(n, ends)]
-            cols = [b.column("doc_id"), pa.array(c.view(np.int64)), *(pa.array(x, pa.binary()) for x in (blobs, points, fine))]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "c", "hashes", "point", "fine"])
+            ids, ends, rows = b.column("doc_id").to_numpy(), np.cumsum(n), []
+            for i in np.flatnonzero(c.view(np.int64) == b.column("want").to_numpy()):
+                if ids[i] != last:
+                    rows.append(i)
+                    last = ids[i]
+            own = [h[ends[i] - n[i] : ends[i]] for i in rows]
+            points = np.minimum(vectors(who, h, len(n)), 65535).astype(np.uint16)
+            blobs = [x.tobytes() for x in own], [points[i].tobytes() for i in rows], [fine_vector(x).tobytes() for x in own]
+            cols = [pa.array(ids[rows], pa.int64()), pa.array(n[rows], pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "hashes", "point", "fine"])
 
     asked = common.table(asked, "ngram-asked")
-    got = lean.join(asked, "doc_id").mapInArrow(sets_of, "node long, c long, hashes binary, point binary, fine binary")
-    kept = got.join(nodes, ["node", "c"])  # of rows that repeat an id, those of the class; each once
-    with common.wide_rows(spark):
-        kept = common.table(kept.withColumn("_k", F.row_number().over(Window.partitionBy("node").orderBy("c"))).where("_k = 1").select("node", "n", "hashes", "point", "fine"), "ngram-sets")
+    # texts are dealt by id once, which serves the join and brings rows that repeat an id together; sets do not move
+    got = lean.repartition("doc_id").join(asked, "doc_id").sortWithinPartitions("doc_id")
+    kept = common.table(got.select("doc_id", "text", "want").mapInArrow(sets_of, "node long, n long, hashes binary, point binary, fine binary"), "ngram-sets")
     points, sets = kept.select("node", "n", "point"), kept.select("node", "hashes")
     common.release(spark)
 
