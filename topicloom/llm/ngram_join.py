@@ -223,15 +223,23 @@ def survivors(ids: list, comps: list, points: np.ndarray, sizes: np.ndarray, sid
 
 
 def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row: links are 100 * overlap >= threshold * union of shingle sets.
+    """doc_id, n_shingles, component_id for each row, as linked() has them."""
+    return linked(docs, width, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root, component_id for each row: links are 100 * overlap >= threshold * union of shingle sets.
 
     component_id is the smallest doc_id that links reach, the row's own if none. Texts that are null, empty or without
     words have no shingles and no links. Rows of one doc_id are one node if their sets are equal; else each row has its own
     set's component. A null id is ignored as a smallest id, and stays null where nothing else is reached. An empty table
     gives no rows. Other columns are ignored. Equal 64-bit hashes count as equal shingles.
+
+    root tells components apart, whatever their ids; it is null where there are no shingles. text_hash is xxhash64(text).
+    A node is the hash of a class; ids count only when the components are done.
     """
     spark = docs.sparkSession
-    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19):
         for whole in batches:
@@ -242,10 +250,11 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, who, h, n, c in read(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(c.view(np.int64))], names=["doc_id", "n", "c"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(c.view(np.int64))], names=["doc_id", "text_hash", "n", "c"])
 
-    sized = common.table(lean.mapInArrow(sizes, "doc_id long, n long, c long"), "ngram-sizes")
-    nodes = common.table(sized.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")).where("node is not null"), "ngram-classes")
+    sized = common.table(lean.mapInArrow(sizes, "doc_id long, text_hash long, n long, c long"), "ngram-sizes")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))  # a row that has the class's set
+    nodes = common.table(sized.where("n > 0").groupBy(F.col("c").alias("node")).agg(one.alias("one")).select("node", "one.*"), "ngram-classes")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, who, h, n, c in read(batches):
@@ -283,27 +292,30 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     met = common.table(met, "ngram-keys")  # a class under a key, with the least class of the key
     common.release(spark)
 
-    asked = met.select("c").union(met.select(F.col("least").alias("c"))).distinct().join(nodes, "c").groupBy(F.col("node").alias("doc_id")).agg(F.min("c").alias("want"))
+    place = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "text_hash"]
+    asked = met.select(F.col("c").alias("node")).union(met.select(F.col("least").alias("node"))).distinct().join(nodes, "node").select(*place, F.col("node").alias("want"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by id: the first of each id whose set is of the class that is asked for."""
+        """Of rows sorted by id and text: the first of each class that is asked for."""
         last = None
         for b, who, h, n, c in read(batches):
-            ids, ends, rows = b.column("doc_id").to_numpy(), np.cumsum(n), []
-            for i in np.flatnonzero(c.view(np.int64) == b.column("want").to_numpy()):
-                if ids[i] != last:
+            want, ends, rows = b.column("want").to_numpy(), np.cumsum(n), []
+            for i in np.flatnonzero(c.view(np.int64) == want):
+                if want[i] != last:
                     rows.append(i)
-                    last = ids[i]
+                    last = want[i]
             own = [h[ends[i] - n[i] : ends[i]] for i in rows]
             points = np.minimum(vectors(who, h, len(n)), 65535).astype(np.uint16)
             blobs = [x.tobytes() for x in own], [points[i].tobytes() for i in rows], [fine_vector(x).tobytes() for x in own]
-            cols = [pa.array(ids[rows], pa.int64()), pa.array(n[rows], pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)]
+            cols = [pa.array(want[rows], pa.int64()), pa.array(n[rows], pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)]
             yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "hashes", "point", "fine"])
 
     asked = common.table(asked, "ngram-asked")
-    # texts are dealt by id once, which serves the join and brings rows that repeat an id together; sets do not move
-    got = lean.repartition("doc_id").join(asked, "doc_id").sortWithinPartitions("doc_id")
-    kept = common.table(got.select("doc_id", "text", "want").mapInArrow(sets_of, "node long, n long, hashes binary, point binary, fine binary"), "ngram-sets")
+    # texts are dealt by id and text once, which serves the join and brings rows that repeat both together; sets do not move.
+    # Of texts without an id one is enough, so that their copies do not meet in one task
+    texts = lean.where("doc_id is not null").union(lean.where("doc_id is null").dropDuplicates(["text_hash"])).select(*place, "text")
+    got = texts.repartition("id", "none", "text_hash").join(asked, ["id", "none", "text_hash"]).sortWithinPartitions("id", "none", "text_hash")
+    kept = common.table(got.select("text", "want").mapInArrow(sets_of, "node long, n long, hashes binary, point binary, fine binary"), "ngram-sets")
     points, sets = kept.select("node", "n", "point"), kept.select("node", "hashes")
     common.release(spark)
 
@@ -352,7 +364,7 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
 
     tried = common.table(spark.createDataFrame([], "a long, b long"), "ngram-tried")
     links, roots = tried, nodes.limit(0).select("node", F.col("node").alias("root"))
-    named = met.select("key", "c").union(met.select("key", F.col("least").alias("c")).distinct()).join(nodes.select("c", "node"), "c").select("key", "node")
+    named = met.select("key", F.col("c").alias("node")).union(met.select("key", F.col("least").alias("node")).distinct())
     named = common.table(named, "ngram-members")
     fame = common.table(named.groupBy("node").agg(F.count(F.lit(1)).alias("fame")), "ngram-fame")
     for _ in range(STARS):
@@ -408,7 +420,10 @@ def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     log.info("pairs for verification: %d", later.count())
     if not later.isEmpty():
         roots = common.components(links.union(verify(later)), "a", "b")
-    final = common.table(nodes.join(roots, "node", "left").select("c", F.coalesce("root", "node").alias("component")), "ngram-roots")
+    reached = common.table(nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "ngram-roots")
+    least = reached.groupBy("root").agg(F.min("doc_id").alias("component"))
+    final = common.table(reached.join(least, "root").select(F.col("node").alias("c"), "root", "component"), "ngram-roots")
     common.release(spark)
-    out = sized.where("n > 0").join(final, "c", "left").select("doc_id", "n", "component").union(sized.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    some = sized.where("n > 0").join(final, "c", "left").select("doc_id", "text_hash", "n", "root", "component")
+    out = some.union(sized.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long"), F.col("doc_id").alias("component")))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root", F.coalesce("component", "doc_id").alias("component_id"))
