@@ -22,12 +22,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id; rows that
-    repeat an id and a text count once."""
-    joined = ngram_join.join(docs, width=5, threshold=80)
-    keep = common.table(joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept-documents")
-    held = docs.select(*COLUMNS).join(keep.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return held.dropDuplicates(["doc_id"])
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id, null last;
+    rows that repeat an id and a text count once. Equal ids on texts that no links join are documents of their own, and so
+    are null ids."""
+    joined = ngram_join.linked(docs, width=5, threshold=80)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
+    keep = joined.where("root is not null").groupBy("root").agg(first).select("one.doc_id", "one.text_hash")
+    keep = keep.union(joined.where("root is null").select("doc_id", "text_hash")).distinct()
+    # the keys have no nulls, so that join and deduplication share one shuffle of the texts
+    key = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_text": F.col("text_hash")}
+    keep = common.table(keep.select(*(v.alias(k) for k, v in key.items())), "kept-documents")
+    held = docs.select(*COLUMNS).withColumns(key | {"_text": F.xxhash64("text")})
+    return held.join(keep, list(key), "left_semi").dropDuplicates(list(key)).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,24 @@
+"""Stages of the pipeline on tables with null and repeated ids."""
+
+import collections
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+
+
+def said(tag, first=0, n=100):
+    return " ".join(f"{tag}{k}" for k in range(first, first + n))
+
+
+def test_pipeline_keeps_one_of_each_component(spark):
+    near = [(None, said("n")), (None, said("n")), (None, said("n", 1)), (None, said("m")), (None, said("k"))]
+    ids = [(4, said("a")), (4, said("b")), (4, said("a")), (6, said("a", 1)), (None, said("b", 1)), (2, ""), (2, ""), (None, ""), (3, said("f")), (3, said("f", 1))]
+    for parts in (1, 3):
+        df = spark.createDataFrame(near + ids, "doc_id long, text string").repartition(parts).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")})
+        got = corpus_pipeline.near_copies(spark, df, "").collect()
+        assert tuple(got[0].asDict()) == corpus_pipeline.COLUMNS
+        held = collections.Counter((r.doc_id, r.text) for r in got)
+        assert sum(held.pop((None, said("n", k)), 0) for k in (0, 1)) == 1
+        assert sum(held.pop((3, said("f", k)), 0) for k in (0, 1)) == 1
+        assert held == {(None, said("m")): 1, (None, said("k")): 1, (4, said("a")): 1, (4, said("b")): 1, (2, ""): 1, (None, ""): 1}
