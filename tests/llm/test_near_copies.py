@@ -2,6 +2,8 @@
 
 import collections
 
+import numpy as np
+
 from topicloom.llm import ngram_join
 
 
@@ -22,3 +24,10 @@ def test_null_ids_link(spark):
     others = [(None, said("b")), (None, said("b", 1)), (None, said("c")), (None, ""), (4, None)]
     got = ngram_join.join(spark.createDataFrame(chain + others, "doc_id long, text string")).collect()
     assert collections.Counter((r.doc_id, r.component_id) for r in got) == {(3, 3): 1, (None, 3): 1, (9, 3): 1, (None, None): 4, (4, 4): 1}
+
+
+def test_clipped_counts_bound_nothing():
+    counts = np.full(ngram_join.DIMS, 72000)  # a set of 9.2 million shingles, and a near copy
+    points = ngram_join._points([np.minimum(c, 65535).astype(np.uint16).tobytes() for c in (counts, counts - 100, counts // 2)])
+    sizes = np.array([counts.sum(), (counts - 100).sum(), (counts // 2).sum()])
+    assert ngram_join.survivors([1, 2, 3], [1, 2, 3], points, sizes, [2, 2, 2], 85) == [(1, 2)]

@@ -157,7 +157,10 @@ def fine_bound(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _points(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, DIMS).astype(np.int32)
+    """Count vectors as they are held; a count that may have been clipped bounds nothing."""
+    points = np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, DIMS).astype(np.int32)
+    points[points == 65535] = np.iinfo(np.int32).max
+    return points
 
 
 def enough(a, b, t: int):
@@ -191,7 +194,7 @@ class RTree:
         at = np.zeros(1, np.int64)
         for k in range(len(self.levels) - 1, -1, -1):
             high, small = self.levels[k]
-            at = at[np.minimum(high[at], point).sum(axis=1) >= enough(size, small[at], t)]
+            at = at[np.minimum(high[at], point).sum(axis=1, dtype=np.int64) >= enough(size, small[at], t)]
             if k and len(at):
                 at = (at[:, None] * FAN + np.arange(FAN)).reshape(-1)
                 at = at[at < len(self.levels[k - 1][0])]
@@ -326,7 +329,7 @@ def linked(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
             if b.num_rows:
                 x, y = _points(b.column("p").to_pylist()), _points(b.column("q").to_pylist())
                 n = b.column("na").to_numpy() + b.column("nb").to_numpy()
-                yield b.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1) >= enough(0, n, threshold)))
+                yield b.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1, dtype=np.int64) >= enough(0, n, threshold)))
 
     def sharpen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
