@@ -396,9 +396,8 @@ def schedules(spark, d):
     return spark.createDataFrame(schedule(20, 3, 5, 4), "s int, merge boolean, write boolean, aggregate boolean")
 
 
-@query("online_stream", _online_sql("SELECT t::BIGINT AS t, k, term_id, n FROM hist WHERE t = 0", "weeks"))
-def online_stream(spark, d):
-    """The counts of the first week, before any sweep, out of a stream of all weeks."""
+def _streamed(spark, d, niters: int) -> DataFrame:
+    """(t, k, term_id, n) of the online fit over a stream of all weeks."""
     from ..streaming import history_of, start_online
 
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -414,8 +413,20 @@ def online_stream(spark, d):
     terms.write.parquet(f"{root}/terms")
     terms = spark.read.parquet(f"{root}/terms")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-    start_online(stream, terms, Config(K, terms.count(), ALPHA, BETA, seed=SEED), f"{root}/out", f"{root}/state", niters=0, omega=OMEGA).awaitTermination()
-    return history_of(spark, f"{root}/out").where("t = 0").select(long("t"), F.col("k").cast("int").alias("k"), "term_id", "n")
+    start_online(stream, terms, Config(K, terms.count(), ALPHA, BETA, seed=SEED), f"{root}/out", f"{root}/state", niters=niters, omega=OMEGA).awaitTermination()
+    return history_of(spark, f"{root}/out").select(long("t"), F.col("k").cast("int").alias("k"), "term_id", "n")
+
+
+@query("online_stream", _online_sql("SELECT t::BIGINT AS t, k, term_id, n FROM hist WHERE t = 0", "weeks"))
+def online_stream(spark, d):
+    """The counts of the first week, before any sweep, out of a stream of all weeks."""
+    return _streamed(spark, d, 0).where("t = 0")
+
+
+@query("online_fit", None)
+def online_fit(spark, d):
+    """Each week's own counts after two sweeps, out of a stream of all weeks; later weeks start from the decayed ones."""
+    return _streamed(spark, d, 2)
 
 
 @query("top_terms", None)
