@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import uniform
 from topicloom.operators.sweep import Config
 from topicloom.plans import queries as q
-from topicloom.plans.fit import fit_online
+from topicloom.plans.fit import fit, fit_online, one_shard
 from topicloom.sources import natural
 from topicloom.streaming import history_of, start_online
 
@@ -82,3 +82,15 @@ def test_registered_online_fit_is_the_scan(spark):
     want = plain(entries, Config(q.K, terms, q.ALPHA, q.BETA, seed=q.SEED), 2, q.OMEGA)
     got = counts(q.QUERIES["online_fit"](spark, SF))
     assert got == want and len({t for t, _, _ in got}) > 1
+
+
+def test_null_labels_are_a_shard(spark, tmp_path):
+    cfg, entries = Config(3, 9), corpus(spark, ["w10", None, "w2"])
+    terms = spark.range(9).select(F.col("id").alias("term_id"))
+    one = one_shard(entries)
+    assert one.count() == entries.count() and one.select("entry_id").distinct().count() == entries.count()
+    assert [r.origin for r in one.groupBy("origin").agg(F.min("doc_id").alias("d")).orderBy("d").collect()] == [None, "w2", "w10"]
+    assert fit(entries, cfg, 1, sequential=True)["z"].count() == entries.count()
+    want = plain(entries, cfg, 1, 0.5)
+    assert counts(fit_online(entries, terms, cfg, 1, omega=0.5)["nw_hist"]) == want
+    assert counts(streamed(spark, entries, terms, cfg, 1, 0.5, tmp_path)) == want

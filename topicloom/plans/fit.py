@@ -76,26 +76,32 @@ def fit(entries: DataFrame, cfg: Config, niters: int = 500, merge_every: int = 1
 
 
 def one_shard(entries: DataFrame) -> DataFrame:
-    """All shards as one, in natural order of their labels: documents and entries are numbered on; origin keeps the label."""
+    """All shards as one, in natural order of their labels, null first: documents and entries are numbered on; origin keeps the label."""
     from ..functions import natural_key
 
     sizes = entries.groupBy("shard").agg((F.max("doc_id") + 1).alias("docs"), (F.max("entry_id") + 1).alias("rows"))
     placed = ops.offsets(sizes, [natural_key(F.col("shard")), F.col("shard")])
     rows = ops.offsets(sizes.select("shard", F.col("rows").alias("docs")), [natural_key(F.col("shard")), F.col("shard")]).select("shard", F.col("offset").alias("ahead"))
-    joined = entries.join(F.broadcast(placed.select("shard", "offset")), "shard").join(F.broadcast(rows), "shard")
+    ahead = placed.join(rows, placed["shard"].eqNullSafe(rows["shard"])).select(placed["shard"].alias("_of"), "offset", "ahead")
+    joined = entries.join(F.broadcast(ahead), F.col("shard").eqNullSafe(F.col("_of")))
     return joined.select(F.lit("all").alias("shard"), (F.col("entry_id") + F.col("ahead")).alias("entry_id"), (F.col("doc_id") + F.col("offset")).alias("doc_id"), "term_id", "count", F.col("shard").alias("origin"))
 
 
+def place(label: str | None) -> tuple:
+    """Sort key of a shard's label: natural order, null first."""
+    return label is not None, natural(label)
+
+
 def fit_online(entries: DataFrame, terms: DataFrame, cfg: Config, niters: int = 500, omega: float = 1.0, decay_zprior: bool = False) -> dict[str, DataFrame]:
     """Shard after shard in natural order; each starts from the counts of the shards before, weighted by omega to the lag.
 
     Tables z, nw_hist (t, k, term_id, n: each shard's own counts) and nw (t, ...: decayed sums). The start of z uses
     the counts of earlier shards without decay, or with decay_zprior as the sweeps do.
     """
-    labels = sorted((r.shard for r in entries.select("shard").distinct().collect()), key=natural)
+    labels = sorted((r.shard for r in entries.select("shard").distinct().collect()), key=place)
     done, history = None, None
     for t, label in enumerate(labels):
-        state, own, history = online_step(entries.where(F.col("shard") == label), terms, cfg, t, history, niters, omega, decay_zprior)
+        state, own, history = online_step(entries.where(F.col("shard").eqNullSafe(F.lit(label))), terms, cfg, t, history, niters, omega, decay_zprior)
         done = state if done is None else done.unionByName(state)
     return {"z": done, "nw_hist": history, "nw": ops.decayed(history, omega)}
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sweep import Config
-from ..plans.fit import online_step
-from ..sources import natural
+from ..plans.fit import online_step, place
 
 
 def start_online(stream: DataFrame, terms: DataFrame, cfg: Config, out: str, checkpoint: str, niters: int = 1, omega: float = 1.0):
@@ -21,19 +20,19 @@ def start_online(stream: DataFrame, terms: DataFrame, cfg: Config, out: str, che
     def batch(df: DataFrame, number: int) -> None:
         df.persist()
         done = known(spark, out)
-        last = natural(done[-1][1]) if done else []
-        for label in sorted((r.shard for r in df.select("shard").distinct().collect()), key=natural):
+        last = place(done[-1][1]) if done else ()
+        for label in sorted((r.shard for r in df.select("shard").distinct().collect()), key=place):
             again = next((t for t, l in done if l == label), None)
-            if again is None and done and natural(label) <= last:
+            if again is None and done and place(label) <= last:
                 continue
             t = len(done) if again is None else again
             history = history_of(spark, out).where(F.col("t") < t) if t else None
-            state, own, _ = online_step(df.where(F.col("shard") == label), terms, cfg, t, history, niters, omega)
-            own.drop("t").withColumn("shard", F.lit(label)).write.mode("overwrite").parquet(f"{out}/nw_hist/t={t}")
+            state, own, _ = online_step(df.where(F.col("shard").eqNullSafe(F.lit(label))), terms, cfg, t, history, niters, omega)
+            own.drop("t").withColumn("shard", F.lit(label).cast("string")).write.mode("overwrite").parquet(f"{out}/nw_hist/t={t}")
             state.write.mode("overwrite").parquet(f"{out}/z/t={t}")
             if again is None:
                 done.append((t, label))
-                last = natural(label)
+                last = place(label)
         df.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
