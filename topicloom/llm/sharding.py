@@ -2,7 +2,7 @@
 
 Only DataFrame functions run here. Documents with equal texts are linked. A group of equal texts is held as at most
 1024 cells (the documents of the group whose id hashes alike), so that no step sees a row per copy; a group that
-exceeds a quarter of a shard is propagated as several pieces.
+exceeds a shard's quota is propagated as several pieces.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from . import common
 
 CELLS = 1024
+#: Rounds in a row without a smaller cut after which propagation ends.
+PATIENCE = 3
 
 
 def _of(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), index + 1)
 
 
-def label_propagation_shards(docs: DataFrame, shards: int = 16, rounds: int = 4, slack: float = 1.0) -> DataFrame:
+def label_propagation_shards(docs: DataFrame, shards: int = 16, rounds: int | None = None, slack: float = 1.0) -> DataFrame:
     """Shard and slot of each row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law `rows`: the shards' row counts are at most one apart. size is the text's UTF-8 bytes plus 1, of a null text 1;
@@ -30,7 +32,8 @@ def label_propagation_shards(docs: DataFrame, shards: int = 16, rounds: int = 4,
 
     Each round counts, for each piece of a group, the documents in each shard (the neighbours' labels), takes the
     shard with most, and moves the others there while the quota has room: where more want in than fit, the hash of
-    the group decides. Rounds end early if none moves. The rest is exact arithmetic on ranks: what exceeds a shard's
+    the group decides. Rounds end if none wants to move, if the cut has not become smaller for PATIENCE rounds, or after
+    `rounds`, if given; the labels of the smallest cut count. The rest is exact arithmetic on ranks: what exceeds a shard's
     quota, and all documents without a link, fill the room that is left.
     """
     spark = docs.sparkSession
@@ -42,17 +45,20 @@ def label_propagation_shards(docs: DataFrame, shards: int = 16, rounds: int = 4,
     room = [rows // shards + (s < rows % shards) for s in range(shards)]
     cells = base.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("m"))
     sizes = cells.groupBy(*group).agg(F.sum("m").alias("n")).where("n > 1")
-    pieces = F.ceil(F.col("n") * 4 * shards / F.lit(max(rows, 1)))
+    pieces = F.ceil(F.col("n") / F.lit(max(1, rows // shards)))
     cells = cells.join(sizes, group).select(*group, "cell", "m", (F.col("cell") % shards).alias("shard"), F.pmod(F.floor(F.col("cell") / shards), pieces).alias("piece"))
     cells = common.table(cells, "shard-cells")
     quota = [max(1, int(x * slack)) for x in room]
 
-    def load(df: DataFrame) -> list[int]:
-        held = {r.shard: r.n for r in df.groupBy("shard").agg(F.sum("m").alias("n")).collect()}
-        return [int(held.get(s, 0)) for s in range(shards)]
+    def load(df: DataFrame) -> tuple[list[int], float]:
+        """Documents by shard, and the pairs of equal texts that stay together once what exceeds a quota has left."""
+        votes = df.groupBy(*group, "shard").agg(F.sum("m").alias("v"))
+        held = {r.shard: r for r in votes.groupBy("shard").agg(F.sum("v").alias("n"), F.sum(F.col("v").cast("double") * F.col("v")).alias("pairs")).collect()}
+        return [int(held[s].n) if s in held else 0 for s in range(shards)], sum(r.pairs * min(1.0, room[s] / r.n) ** 2 for s, r in held.items())
 
-    held = load(cells)
-    for k in range(rounds):
+    held, whole = load(cells)
+    best_cells, best_held, idle, k = cells, held, 0, 0
+    while idle < PATIENCE and (rounds is None or k < rounds):
         votes = cells.groupBy(*group, "piece", "shard").agg(F.sum("m").alias("v"))
         tie = F.struct("v", F.xxhash64("g", "shard", F.lit(k)))
         best = votes.groupBy(*group, "piece").agg(F.max_by("shard", tie).alias("to"))
@@ -66,8 +72,14 @@ def label_propagation_shards(docs: DataFrame, shards: int = 16, rounds: int = 4,
         luck = F.pmod(F.xxhash64(*group, "piece", F.lit(1000 + k)), F.lit(1 << 20)) / float(1 << 20)
         cells = asked.withColumn("shard", F.when(luck < _of(share, F.col("to")), F.col("to")).otherwise(F.col("shard"))).drop("to")
         cells = common.table(cells, "shard-cells")
-        held = load(cells)
+        held, now = load(cells)
+        k += 1
+        if now > whole:
+            best_cells, best_held, whole, idle = cells, held, now, 0
+        else:
+            idle += 1
 
+    cells, held = best_cells, best_held
     linked = cells.select(*group, "cell", F.col("shard").cast("int").alias("part"))
     placed = base.join(linked, [*group, "cell"], "left").withColumn("part", F.coalesce("part", F.lit(-1)))
     placed = common.ranked(placed, ["part"], [*group, "cell"], [*group, "doc_id"], rows, "rank")
