@@ -17,8 +17,8 @@ from . import nw as count_nw
 
 @dataclass(frozen=True)
 class Config:
-    """unit: entry (a draw for all tokens of a term in a document) or token. vector: the form of the conditional for
-    priors that differ by document and term; with constants it rounds differently."""
+    """unit: entry (a draw for all tokens of a term in a document) or token. vector: the form of the conditional that
+    the reference has for vector priors; it rounds differently. Priors that differ are tables given to sweep."""
 
     topics: int
     terms: int
@@ -30,16 +30,20 @@ class Config:
 
 
 class Scan:
-    """State of a scan: counts by document, and by term of what it has met. Up to 16 topics plain lists are faster."""
+    """State of a scan: counts by document, and by term of what it has met. Up to 16 topics plain lists are faster.
+    beta_sums: by topic, of a vector prior over all terms."""
 
-    def __init__(self, cfg: Config, totals: list[float], fixed: bool):
+    def __init__(self, cfg: Config, totals: list[float], fixed: bool, beta_sums: list[float] | None = None):
         self.cfg, self.fixed = cfg, fixed
         self.ns, self.nw = list(totals), {}
-        self.ka, self.vb = cfg.topics * cfg.alpha, cfg.terms * cfg.beta
-
-    def step(self, v: int, c: int, z: int, u: float, nd: list, total: float) -> int:
-        """The new topic of an entry of term v and c tokens; changes nd in place. total: tokens of the document less c."""
-        a, b, ka, vb = self.cfg.alpha, self.cfg.beta, self.ka, self.vb
+        self.a, self.b = [cfg.alpha] * cfg.topics, [cfg.beta] * cfg.topics
+        self.ka, self.vb = cfg.topics * cfg.alpha, beta_sums or [cfg.terms * cfg.beta] * cfg.topics
+
+    def step(self, v: int, c: int, z: int, u: float, nd: list, total: float, alpha: list | None = None, beta: list | None = None) -> int:
+        """The new topic of an entry of term v and c tokens; changes nd in place. total: tokens of the document less c.
+        alpha of the document and beta of the term, by topic, replace the constants."""
+        a, b, vb = alpha or self.a, beta or self.b, self.vb
+        ka = sum(alpha) if alpha else self.ka
         w, ns = self.nw[v], self.ns
         nd[z] -= c
         if not self.fixed:
@@ -49,14 +53,14 @@ class Scan:
         if k <= 16:
             cum, p = [], 0.0
             for i in range(k):
-                x = ((w[i] + b) / (ns[i] + vb)) * ((nd[i] + a) / (total + ka)) if self.cfg.vector else (w[i] + b) / (ns[i] + vb) * (nd[i] + a) / (total + ka)
+                x = ((w[i] + b[i]) / (ns[i] + vb[i])) * ((nd[i] + a[i]) / (total + ka)) if self.cfg.vector else (w[i] + b[i]) / (ns[i] + vb[i]) * (nd[i] + a[i]) / (total + ka)
                 p = x + p
                 cum.append(p)
             bar, new = u * p, 0
             while new < k - 1 and cum[new] <= bar:
                 new += 1
         else:
-            w_, s_, d_ = np.array(w, float), np.array(ns, float), np.array(nd, float)
+            w_, s_, d_, a, b, vb = (np.array(x, float) for x in (w, ns, nd, a, b, vb))
             x = (w_ + b) / (s_ + vb) * ((d_ + a) / (total + ka)) if self.cfg.vector else (w_ + b) / (s_ + vb) * (d_ + a) / (total + ka)
             cum = np.cumsum(x)
             new = min(k - 1, int(np.searchsorted(cum, u * cum[-1], side="right")))
@@ -67,11 +71,12 @@ class Scan:
         return new
 
 
-def sweep(entries: DataFrame, cfg: Config, first: int = 1, sweeps: int = 1, fixed: DataFrame | None = None, offset: DataFrame | None = None) -> DataFrame:
+def sweep(entries: DataFrame, cfg: Config, first: int = 1, sweeps: int = 1, fixed: DataFrame | None = None, offset: DataFrame | None = None, alpha: DataFrame | None = None, beta: DataFrame | None = None) -> DataFrame:
     """entries with z after sweeps first, first + 1, ...; z_prev, z before the last one; trace, array of changes per sweep.
 
     Each shard is one scan in order of entry_id and starts from the counts of all shards; with fixed (k, term_id, n) these
     never change, and each document is a scan of its own. offset (k, term_id, n) adds decayed counts of earlier shards.
+    alpha (doc_id, k, a) and beta (k, term_id, b) replace the constants; they have all topics of each document and term.
     Each row carries the counts of its term, so no table of all topics and terms is sent to any task. trace marks, for
     each sweep, whether the entry changed.
     """
@@ -82,8 +87,18 @@ def sweep(entries: DataFrame, cfg: Config, first: int = 1, sweeps: int = 1, fixe
     totals = [float(sums.get(k, 0)) for k in range(cfg.topics)]
     slots = F.transform(F.sequence(F.lit(0), F.lit(cfg.topics - 1)), lambda k: F.coalesce(F.element_at("m", k.cast("int")), F.lit(0.0)))
     packed = base.groupBy("term_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("int"), F.col("n").cast("double")))).alias("m")).select("term_id", slots.alias("_w"))
+    beta_sums, more = None, []
+    if beta is not None:
+        sums_b = {r.k: r.b for r in beta.groupBy("k").agg(F.sum("b").alias("b")).collect()}
+        beta_sums = [float(sums_b[k]) for k in range(cfg.topics)]
     draws = F.array(*(uniform(*cfg.key, s, cfg.seed) for s in range(first, first + sweeps)))
     rows = entries.join(packed, "term_id", "left").withColumn("_w", F.coalesce("_w", F.array_repeat(F.lit(0.0), cfg.topics))).withColumn("_u", draws)
+    for prior, of, value, name in ((alpha, "doc_id", "a", "_a"), (beta, "term_id", "b", "_b")):
+        if prior is not None:
+            by_topic = F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("int"), F.col(value).cast("double"))))
+            array = F.transform(F.sequence(F.lit(0), F.lit(cfg.topics - 1)), lambda k: F.element_at("m", k.cast("int")))
+            rows = rows.join(prior.groupBy(of).agg(by_topic.alias("m")).select(of, array.alias(name)), of, "left")
+            more.append(name)
     keys = ["shard", "doc_id"] if fixed is not None else ["shard"]
     n = entries.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = rows.repartition(int(n), *keys).sortWithinPartitions(*keys, "entry_id")
@@ -98,7 +113,11 @@ def sweep(entries: DataFrame, cfg: Config, first: int = 1, sweeps: int = 1, fixe
         def solve() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             docs, terms, counts, zs = (t.column(c).to_pylist() for c in ("doc_id", "term_id", "count", "z"))
-            scan = Scan(cfg, totals, frozen)
+            scan = Scan(cfg, totals, frozen, beta_sums)
+            own = {name: t.column(name).to_pylist() for name in more}
+            if any(x is None or None in x for xs in own.values() for x in xs):
+                raise ValueError("alpha or beta lacks a document, a term or a topic")
+            a, b = (own.get(name, [None] * len(docs)) for name in ("_a", "_b"))
             for v, w in zip(terms, t.column("_w").to_pylist()):
                 scan.nw.setdefault(v, w)
             us = t.column("_u").to_pylist()
@@ -111,7 +130,7 @@ def sweep(entries: DataFrame, cfg: Config, first: int = 1, sweeps: int = 1, fixe
             for s in range(sweeps):
                 before = list(zs)
                 for i, (d, v, c) in enumerate(zip(docs, terms, counts)):
-                    zs[i] = scan.step(v, c, zs[i], us[i][s], nd[d], size[d] - c)
+                    zs[i] = scan.step(v, c, zs[i], us[i][s], nd[d], size[d] - c, a[i], b[i])
                     trace[i].append(int(zs[i] != before[i]))
             cols = [t.column(c).combine_chunks() for c in names] + [pa.array(before, pa.int32()), pa.array(zs, pa.int32()), pa.array(trace, pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays(cols, names=names + ["z_prev", "z", "trace"])
@@ -128,7 +147,7 @@ def sweep(entries: DataFrame, cfg: Config, first: int = 1, sweeps: int = 1, fixe
         if held:
             yield solve()
 
-    return rows.select(*names, "z", "_w", "_u").mapInArrow(run, schema)
+    return rows.select(*names, "z", "_w", "_u", *more).mapInArrow(run, schema)
 
 
 def traces(swept: DataFrame) -> DataFrame:

@@ -36,11 +36,12 @@ def tables(entries: DataFrame, model: dict) -> dict[str, DataFrame]:
     return out | {k: v for k, v in model.items() if k in ("z_trace", "nw_aggregate", "nd_aggregate")}
 
 
-def fit(entries: DataFrame, cfg: Config, niters: int = 500, merge_every: int = 1, fixed: DataFrame | None = None, unit: str = "entry", sequential: bool = False, write_every: int = 0, out: str | None = None, aggregate_last: int = 0) -> dict[str, DataFrame]:
+def fit(entries: DataFrame, cfg: Config, niters: int = 500, merge_every: int = 1, fixed: DataFrame | None = None, unit: str = "entry", sequential: bool = False, write_every: int = 0, out: str | None = None, aggregate_last: int = 0, alpha: DataFrame | None = None, beta: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables z, nd, ndsum, nw, nwsum, z_trace, and sums over the last sweeps.
 
     entries: shard, entry_id, doc_id, term_id, count. sequential: all shards, in natural order, are one scan. Otherwise
     each shard scans by itself and counts are merged by the schedule. With fixed, nw is never changed.
+    alpha (doc_id, k, a) and beta (k, term_id, b) replace the constant priors; with sequential, doc_id is as one_shard has it.
     """
     if unit not in ("entry", "token"):
         raise ValueError(f"unit must be entry or token, not {unit!r}")
@@ -57,7 +58,7 @@ def fit(entries: DataFrame, cfg: Config, niters: int = 500, merge_every: int = 1
     for s, merge, write, aggregate in schedule(niters, merge_every, write_every, aggregate_last):
         if not (merge or write or aggregate):
             continue
-        swept = _cut(sweep(state, cfg, start, s + 2 - start, fixed))
+        swept = _cut(sweep(state, cfg, start, s + 2 - start, fixed, alpha=alpha, beta=beta))
         traced.append(traces(swept).withColumn("iter", F.col("iter") + start - 1))
         state, start = swept.drop("z_prev", "trace"), s + 2
         log.info("iter: %d", s)
