@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,34 +46,66 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_token_file(docs, empty):
+def test_token_file(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path(queries.TOKENIZER)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    records = tokenfile.write(docs, path)
-    got = sorted(tuple(r)[:4] for r in tokenfile.documents(records).collect())
+    rows = corpus()
+    rows += [(200 + i, t, *rows[0][2:]) for i, t in enumerate(ODD)] + [(None, "no id", *rows[0][2:]), (None, "a " * 70_000 + "b", *rows[0][2:])]
+    records = tokenfile.write(spark.createDataFrame(rows, SCHEMA).repartition(3), path)
+    found = sorted((tuple(r)[:4] for r in tokenfile.documents(records).collect()), key=lambda r: r[1])
     start, want = 0, []
-    for r in sorted(corpus(), key=lambda r: r[0]):
+    nulls = {r[2]: r for r in found if r[0] is None}
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
-        want.append((r[0], start, len(ids), zlib.crc32(ids.tobytes())))
+        if r[0] is None:  # by the hash of their text
+            assert nulls[len(ids)][3] == zlib.crc32(ids.tobytes())
+            want.append(found[len(want)])
+        else:
+            want.append((r[0], start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    assert got == want
+    assert len(nulls) == 2 and found == want
     assert tokenfile.documents(tokenfile.write(empty, path)).count() == 0
 
 
-def test_repair_round_trip_and_random_access():
+ODD = ["a  b", "a \n b", "a\n\nb\n", "\na", "a<|endoftext|>b c", "<|endoftext|>", "\u3000a \u00a0b", "x" * 300 + " y", "it's 'x  's\t1", "\r\n\r\n", " 5 55", "  ", "\x1c \x85"]
+
+
+@pytest.mark.parametrize("pieces", [tokenfile.PIECES, 50])
+def test_encoder_is_the_plain_call(monkeypatch, pieces):
+    """White space of all kinds, added tokens, long words; also when pieces must be forgotten."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfile, "PIECES", pieces)
+    path, rng = public_tokenizers.path(queries.TOKENIZER), np.random.default_rng(0)
+    encoder, tokenizer = tokenfile.Encoder(path), Tokenizer.from_file(path)
+    marks = ["a", "b", " ", " c", "\n", "\t", "'s", "\u00e9", "\u00a0", "1", "\u2003", "!", "\u3000", "\r", "<|endoftext|>"]
+    for texts in [ODD, [""], *(["".join(rng.choice(marks, rng.integers(0, 30))) for _ in range(30)] for _ in range(60))]:
+        ids, sizes = encoder.encode(pa.array(texts))
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_repair_ends_and_comes_back():
     rng = np.random.default_rng(1)
-    for ids in (np.zeros(0, np.uint32), np.array([2], np.uint32), np.full(999, 7, np.uint32), rng.integers(0, 9, 5000).astype(np.uint32)):
-        symbols, rules = tokenfile.repair(ids, 100)
-        flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-        block = tokenfile.Block({"first": 100, "steps": [len(r) for r in rules], "rules": tokenfile._u24(flat.reshape(-1)), "symbols": tokenfile._u24(symbols), "expansions": tokenfile.lengths(rules, 100).astype("<u4").tobytes()})
-        assert (block.ids() == ids).all() and len(symbols) <= len(ids)
+    for ids in (np.zeros(0, np.uint32), np.array([2], np.uint32), np.full(999, 7, np.uint32), rng.integers(0, 9, 5000).astype(np.uint32), np.tile(rng.integers(3, 99, 50), 9).astype(np.uint32)):
+        row = tokenfile.compressed(ids, 100)
+        shard = tokenfile.Shard(row)
+        assert (shard.ids() == ids).all() and len(shard.symbols) <= len(ids)
+        pairs, last = {}, None  # no pair is left that occurs twice, without overlap
+        for i, p in enumerate(zip(shard.symbols.tolist(), shard.symbols[1:].tolist())):
+            if 2 not in p and (p != last):
+                pairs[p] = pairs.get(p, 0) + 1
+                last = p
+            else:
+                last = None
+        assert max(pairs.values(), default=0) <= 1
         for a, b in ((0, 1), (3, 50), (len(ids) - 5, len(ids))):
             if 0 <= a < b <= len(ids):
-                assert (block.ids(a, b) == ids[a:b]).all()
+                assert (shard.ids(a, b) == ids[a:b]).all()
 
 
 def test_language(docs, empty):

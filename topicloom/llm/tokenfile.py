@@ -1,108 +1,165 @@
-"""Token ids in Re-Pair compressed blocks with random access."""
+"""Token ids in Re-Pair compressed shards with random access."""
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .langid import slices
 
 END = 2
-#: Ids of a block; a document is never split, so a block may exceed it by one document.
-BLOCK = 1 << 18
-ROUNDS = 6
-#: Rules of a round, and the least number of occurrences that is worth a rule.
-RULES, LEAST = 4096, 8
-#: Words that a worker remembers the ids of.
-WORDS = 400_000
-
-
-def repair(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(symbols, rules): in each round the pairs that occur most become nonterminals, numbered on from `first`.
-
-    rules has an array [n, 2] of symbols a round. Occurrences are replaced from left to right, without overlap. A pair
-    with END is never replaced, so no rule reaches over the end of a document.
+#: Ids of a shard, which has one grammar; a document is never split, so a shard may exceed it by one document.
+SHARD = 1 << 22
+#: Bytes of text that are encoded at once.
+BATCH = 1 << 23
+#: Pieces of text that a worker remembers the ids of, and the longest that it remembers, in bytes.
+PIECES, LONGEST = 1_500_000, 64
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def repair(ids: np.ndarray, first: int, least: int = 2) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(symbols, rules): rounds replace frequent pairs by nonterminals, numbered on from `first`, until none occurs `least` times.
+
+    rules has an array [n, 2] of symbols a round. In a round every pair that occurs often enough becomes a rule. Where
+    occurrences overlap, the pair that occurs more often has the place in the first round, and in a later one where it is
+    the only way on; else every second one from the left. A pair left with too few places waits.
+    A pair with END is never replaced, so no rule reaches over the end of a document.
     """
-    seq, rules = ids.astype(np.uint64), []
-    for _ in range(rounds):
-        if len(seq) < 2:
+    seq, rules = ids.astype(np.uint32), []
+    # open[i]: the pair (i, i + 1) may occur often enough. A pair that does not never will, unless a symbol changes
+    open_ = np.zeros(len(seq), bool)
+    open_[:-1] = (seq[:-1] != END) & (seq[1:] != END)
+    while len(at := np.flatnonzero(open_)):
+        a, b = seq[at], seq[at + 1]
+        still = np.zeros(len(seq), bool)
+        if len(same := np.flatnonzero(a == b)):  # of equal symbols in a row every second pair counts
+            odd = same[_place_in_run(at[same]) % 2 == 1]
+            still[at[odd]] = True
+            keep = np.ones(len(at), bool)
+            keep[odd] = False
+            at, a, b = at[keep], a[keep], b[keep]
+        key = a.astype(np.uint64) << np.uint64(32) | b
+        bits = max(10, len(key).bit_length())
+        slot = (key * _MULT >> np.uint64(64 - bits)).astype(np.uint32)
+        often = np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] >= least)
+        at, key, slot = at[often], key[often], slot[often]
+        kinds, count = np.unique(key, return_counts=True)
+        kinds, count = kinds[count >= least], count[count >= least]
+        if not len(kinds):
             break
-        pairs = seq[:-1] << np.uint64(32) | seq[1:]
-        free = (seq[:-1] != END) & (seq[1:] != END)
-        kinds, count = np.unique(pairs[free], return_counts=True)
-        often = np.flatnonzero(count >= least)
-        if not len(often):
+        kinds = kinds[np.argsort(count, kind="stable")]  # a kind's number is its rank; the highest has its slot
+        table = np.full(1 << bits, -1, np.int32)
+        home = (kinds * _MULT >> np.uint64(64 - bits)).astype(np.int64)
+        table[home] = np.arange(len(kinds), dtype=np.int32)
+        lost = np.zeros(1 << bits, bool)
+        lost[home[table[home] != np.arange(len(kinds))]] = True
+        rank = table[slot]
+        found = (rank >= 0) & (kinds[rank] == key)
+        still[at[lost[slot]]] = True
+        at, rank = at[found], rank[found]
+        still[at] = True
+        for by_rank in (False, True) if rules else (True,):
+            if by_rank:
+                beside, win = at[1:] - at[:-1] == 1, np.ones(len(at), bool)
+                win[:-1] &= ~(beside & (rank[1:] > rank[:-1]))
+                win[1:] &= ~(beside & (rank[:-1] > rank[1:]))
+            else:
+                win = _place_in_run(at) % 2 == 0
+            good = np.bincount(rank[win], minlength=len(kinds)) >= least
+            if good.any():
+                break
+        else:
             break
-        if len(often) > RULES:
-            often = often[np.lexsort((kinds[often], -count[often]))[:RULES]]
-        chosen = np.sort(kinds[often])
-        at = np.searchsorted(chosen, pairs)
-        at[at == len(chosen)] = 0
-        hit = np.flatnonzero((chosen[at] == pairs) & free)
-        # of hits in a row every second one counts
-        fresh = np.concatenate([[True], np.diff(hit) > 1])
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        seq[hit] = np.uint64(first) + at[hit].astype(np.uint64)
-        seq = np.delete(seq, hit + 1)
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        first += len(chosen)
-    return seq.astype(np.uint32), rules
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int, steps: list[int]) -> np.ndarray:
-    """The ids that symbols stand for; steps: number of rules of each round."""
-    starts = np.cumsum([first, *steps])
-    for k in range(len(steps) - 1, -1, -1):
-        inner = symbols >= starts[k]
-        if not inner.any():
-            continue
-        at = np.arange(len(symbols)) + np.cumsum(inner) - inner
-        out = np.empty(len(symbols) + int(inner.sum()), np.uint32)
-        out[at[~inner]] = symbols[~inner]
-        rule = rules[symbols[inner] - first]
-        out[at[inner]], out[at[inner] + 1] = rule[:, 0], rule[:, 1]
-        symbols = out
-    return symbols
+        win &= good[rank]
+        at, rank = at[win], rank[win]
+        seq[at] = first + (np.cumsum(good) - 1)[rank]
+        left = np.ones(len(seq), bool)
+        left[at + 1] = False
+        before = at - 1
+        before -= (before >= 0) & ~left[before]
+        still[at] = True
+        still[before[before >= 0]] = True
+        seq, open_ = seq[left], still[left]
+        open_[:-1] &= (seq[:-1] != END) & (seq[1:] != END)
+        open_[-1] = False
+        kinds = kinds[good]
+        rules.append(np.stack([kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        first += len(kinds)
+    return seq, rules
+
+
+def _place_in_run(at: np.ndarray) -> np.ndarray:
+    """Of ascending positions: how many neighbours without a gap come before each."""
+    start = np.ones(len(at), bool)
+    start[1:] = at[1:] - at[:-1] > 1
+    number = np.arange(len(at))
+    return number - np.maximum.accumulate(np.where(start, number, 0))
 
 
 def lengths(rules: list[np.ndarray], first: int) -> np.ndarray:
     """Ids that each rule stands for."""
-    out = np.zeros(0, np.uint32)
+    out = np.zeros(sum(len(r) for r in rules), np.uint32)
+    done = 0
     for r in rules:
         a = r.astype(np.int64) - first
-        got = np.where(a >= 0, out[np.clip(a, 0, max(0, len(out) - 1))] if len(out) else 1, 1)
-        out = np.concatenate([out, got.sum(axis=1).astype(np.uint32)])
+        out[done : done + len(r)] = np.where(a >= 0, out[np.maximum(a, 0)], 1).sum(axis=1)
+        done += len(r)
     return out
 
 
-def _u24(x: np.ndarray) -> bytes:
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def expand(symbols: np.ndarray, rules: np.ndarray, held: np.ndarray, first: int) -> np.ndarray:
+    """The ids that symbols stand for; held: ids of each rule. Each step opens all symbols that stand for others."""
+    size = np.concatenate([np.ones(first, np.int64), held])
+    ends = np.cumsum(size[symbols])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    at = ends - size[symbols]
+    while len(symbols):
+        inner = symbols >= first
+        out[at[~inner]] = symbols[~inner]
+        at, pair = at[inner], rules[symbols[inner] - first]
+        symbols = np.concatenate([pair[:, 0], pair[:, 1]])
+        at = np.concatenate([at, at + size[pair[:, 0]]])
+    return out
+
 
+def _packed(x: np.ndarray, width: int) -> bytes:
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
-def _from_u24(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(b, np.uint8).reshape(-1, 3)
+
+def _unpacked(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
     return out.reshape(-1).view("<u4")
 
 
-class Block:
-    """A record of the file: decodes any stretch of ids by expanding only the symbols that it touches."""
+def compressed(ids: np.ndarray, first: int) -> dict:
+    """The fields of a record that hold ids: width in bytes of a symbol, first, rules, expansions, symbols."""
+    symbols, rules = repair(ids, first)
+    flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    width = 3 if first + len(flat) < 1 << 24 else 4
+    return {"width": width, "first": first, "rules": _packed(flat.reshape(-1), width), "expansions": lengths(rules, first).astype("<u4").tobytes(), "symbols": _packed(symbols, width)}
+
+
+class Shard:
+    """A record of a file: decodes any stretch of ids by expanding only the symbols that it touches."""
 
     def __init__(self, row: dict):
-        self.first, self.steps = row["first"], list(row["steps"])
-        self.rules = _from_u24(row["rules"]).reshape(-1, 2)
-        self.symbols = _from_u24(row["symbols"])
-        held = np.frombuffer(row["expansions"], "<u4")
+        self.first = row["first"]
+        self.rules = _unpacked(row["rules"], row["width"]).reshape(-1, 2)
+        self.symbols = _unpacked(row["symbols"], row["width"])
+        self.held = np.frombuffer(row["expansions"], "<u4")
         size = np.ones(len(self.symbols), np.int64)
         inner = self.symbols >= self.first
-        size[inner] = held[self.symbols[inner] - self.first]
+        size[inner] = self.held[self.symbols[inner] - self.first]
         self.ends = np.cumsum(size)
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -110,123 +167,212 @@ class Block:
         if stop <= start:
             return np.zeros(0, np.uint32)
         a, b = np.searchsorted(self.ends, start, side="right"), np.searchsorted(self.ends, stop)
-        out = expand(self.symbols[a : b + 1], self.rules, self.first, self.steps)
+        out = expand(self.symbols[a : b + 1], self.rules, self.held, self.first)
         skip = start - (int(self.ends[a - 1]) if a else 0)
         return out[skip : skip + stop - start]
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+
+
 class Encoder:
-    """Ids of whole texts. A line whose words are parted by single spaces is encoded word by word, each word once and
-    then from memory: the pre-tokenizer splits before every such space and about every line end, so ids are the same.
-    Other texts are encoded whole."""
+    """Ids of whole texts, as the library's plain call gives them.
+
+    If the file's pre-tokenizer is the usual one of byte-level BPE, it always splits before white space that follows
+    other characters, and about a lone line end or tab. So texts are cut there; pieces are told apart by Arrow's
+    dictionary, each is encoded once and then comes from memory. Texts with added tokens or white space beyond ASCII are
+    encoded whole, and so is everything under another pre-tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, list[int]] = {}
-        self.newline = self._many(["\n"])[0]
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.added = [t["content"] for t in told.get("added_tokens") or []]
+        split = told.get("pre_tokenizer") or {}
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.usual = usual and not any(told.get(k) for k in ("normalizer", "truncation", "padding")) and not any(len(t.split()) != 1 or t != t.strip() for t in self.added)
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
+        self.leads[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.known: dict[bytes, int] = {}  # the ids of piece i: sizes[i] of flat, from starts[i] on
+        self.flat, self.filled = np.empty(1 << 20, np.uint32), 0
+        self.starts, self.sizes, self.again = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), np.zeros(1 << 16, bool)
+
+    def _forget(self) -> None:
+        """Keeps the pieces that several batches had, if they leave half of the room."""
+        kept = [(k, i) for k, i in self.known.items() if self.again[i]]
+        kept = kept if len(kept) <= PIECES // 2 else []
+        at = np.array([i for _, i in kept], np.int64)
+        size = self.sizes[at]
+        ids = self.flat[np.repeat(self.starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        self.known, self.filled = {k: i for i, (k, _) in enumerate(kept)}, 0
+        self.again[:] = False
+        self._learn(ids, size, 0)
 
     def _many(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split: list[list[list[str]] | None] = []
-        new: set[str] = set()
-        if len(self.words) > WORDS:
-            self.words.clear()
-        for t in texts:
-            lines = []
-            for line in t.split("\n"):
-                parts = line.split(" ")
-                if parts != line.split() or "\x85" in line:
-                    lines = None
-                    break
-                parts[1:] = [" " + w for w in parts[1:]]
-                lines.append(parts)
-                new.update(parts)
-            split.append(lines)
-        fresh = [w for w in new if w not in self.words]
-        self.words.update(zip(fresh, self._many(fresh)))
-        slow = iter(self._many([t for t, lines in zip(texts, split) if lines is None]))
-        out, words = [], self.words
-        for lines in split:
-            if lines is None:
-                out.append(next(slow))
-                continue
-            ids: list[int] = []
-            for k, parts in enumerate(lines):
-                if k:
-                    ids += self.newline
-                for w in parts:
-                    ids += words[w]
-            out.append(ids)
-        return out
+    def _words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of pieces that begin with their only white space, a space: encoded some hundred
+        at once and told apart by the ids that begin with a space."""
+        joined = [b"".join(pieces[i : i + 256]).decode() for i in range(0, len(pieces), 256)]
+        ids = np.concatenate([np.array(x, np.uint32) for x in self._many(joined)])
+        at = np.flatnonzero(self.leads[ids])
+        if len(at) != len(pieces) or at[0]:
+            return self._each(pieces)
+        return ids, np.diff(np.append(at, len(ids)))
+
+    def _each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = self._many([p.decode() for p in pieces])
+        return np.concatenate([np.array(x, np.uint32) for x in got]), np.array([len(x) for x in got], np.int64)
+
+    def _learn(self, ids: np.ndarray, sizes: np.ndarray, first: int) -> None:
+        """Notes the ids of pieces first, first + 1 and so on."""
+        while len(self.flat) < self.filled + len(ids):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.starts) < first + len(sizes):
+            self.starts, self.sizes, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.again))
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        ends = self.filled + np.cumsum(sizes)
+        self.starts[first : first + len(sizes)], self.sizes[first : first + len(sizes)] = ends - sizes, sizes
+        self.filled += len(ids)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each). texts: strings without nulls."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        cut = np.zeros(len(data) + 1, bool)
+        if self.usual:
+            blank = np.concatenate([[False], _BLANK[data], [False]])
+            after = blank[1:-1] & ~blank[:-2]
+            cut[:-1] = after
+            cut[1:] |= after & ~blank[2:] & (data != 32)
+            for i in np.flatnonzero(self._whole(texts, data, offsets)):
+                cut[offsets[i] : offsets[i + 1]] = False
+        cut[offsets[:-1]] = True
+        cut[-1] = False
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        kinds = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) + len(kinds) > PIECES:
+            self._forget()
+        number = np.array([self.known.get(k, -1) for k in kinds], np.int64)
+        self.again[number[number >= 0]] = True
+        new = np.flatnonzero(number < 0).tolist()
+        words, rest, long = [], [], []
+        for i in new:
+            k = kinds[i]
+            (long if len(k) > LONGEST else words if k[0] == 32 and len(k) > 1 and k[1] != 32 and not 9 <= k[1] <= 13 else rest).append(i)
+        if not self.usual:
+            words, rest = [], words + rest
+        at, filled = len(self.known), 0
+        for kind, encode in ((words, self._words), (rest, self._each), (long, self._each)):
+            if kind:
+                if kind is long:
+                    filled = self.filled
+                self._learn(*encode([kinds[i] for i in kind]), at)
+                number[kind] = np.arange(at, at + len(kind))
+                at += len(kind)
+                if kind is not long:
+                    self.known.update(zip((kinds[i] for i in kind), number[kind].tolist()))
+        order = number[pieces.indices.to_numpy()]
+        size = self.sizes[order]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.starts[order] - ends + size, size) + np.arange(ends[-1])]
+        if filled or long:
+            self.filled = filled
+        upto = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
+        return ids, np.diff(upto)
+
+    def _whole(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts are encoded whole."""
+        whole = np.zeros(len(texts), bool)
+        for t in self.added:
+            whole |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero((data[:-1] == 0xC2) | (data[:-1] >= 0xE1) & (data[:-1] <= 0xE3)) if len(data) > 1 else np.zeros(0, np.int64)
+        one, two, three = data[at], data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+        space = (one == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (one == 0xE1) & (two == 0x9A) & (three == 0x80)
+        space |= (one == 0xE2) & ((two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF)) | (two == 0x81) & (three == 0x9F))
+        space |= (one == 0xE3) & (two == 0x80) & (three == 0x80)
+        whole[np.searchsorted(offsets, at[space], side="right") - 1] = True
+        return whole
 
 
 _encoders: dict[str, Encoder] = {}
 
-RECORD = "shard int, block int, shard_start long, n_ids long, first int, doc_ids array<long>, n_tokens array<long>, steps array<int>, rules binary, expansions binary, symbols binary"
+RECORD = "file int, shard int, file_start long, n_ids long, doc_ids array<long>, n_tokens array<long>, width int, first int, rules binary, expansions binary, symbols binary"
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def write(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Encodes docs by ascending doc_id and writes one shard per range of ids to the shared folder; returns the records.
-
-    The format is a Parquet file per shard with a record per block of about BLOCK ids: doc ids and their numbers of ids,
-    Re-Pair rules and how many ids each stands for, and the symbols, three bytes each. shard_start counts the ids of the
-    shard before the block. Each document ends with END; a null text is empty. Null doc_ids come first, rows of one id by
-    the hash of their text. Other columns are ignored. Shards are written by Spark's committer, so a task that is lost
-    is written again. A task holds one block at a time.
+    """Encodes docs by ascending doc_id and writes one file per range of ids to the shared folder; returns the records.
+
+    The format is a Parquet file per range with a record per shard of about SHARD ids: doc ids and their numbers of ids,
+    the shard's Re-Pair rules and how many ids each stands for, and the symbols, three bytes each, four if they are too
+    many. file_start counts the ids of the file before the shard. Each document ends with END; a null text is empty. Null
+    doc_ids come first, rows of one id by the hash of their text. An empty table gives no records. A very long text is one
+    document of one shard. Other columns are ignored. Files are written by Spark's committer, so a task that is lost is
+    written again. A task holds one shard at a time.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(common.partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    fields = common.pack(RECORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
+        file = TaskContext.get().partitionId()
         if tokenizer not in _encoders:
             _encoders[tokenizer] = Encoder(tokenizer)
         encoder = _encoders[tokenizer]
         first = encoder.tokenizer.get_vocab_size()
-        docs_, ids, n, before, number = [], [], 0, 0, 0
+        docs_, ids, sizes, n, before, number = [], [], [], 0, 0, 0
 
         def record() -> pa.RecordBatch:
-            nonlocal docs_, ids, n, before, number
-            symbols, rules = repair(np.concatenate(ids), first)
-            flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-            row = {"shard": shard, "block": number, "shard_start": before, "n_ids": n, "first": first, "doc_ids": docs_, "n_tokens": [len(x) for x in ids], "steps": [len(r) for r in rules], "rules": _u24(flat.reshape(-1)), "expansions": lengths(rules, first).astype("<u4").tobytes(), "symbols": _u24(symbols)}
+            nonlocal docs_, ids, sizes, n, before, number
+            held = compressed(np.concatenate(ids), first)
+            row = {"file": file, "shard": number, "file_start": before, "n_ids": n, "doc_ids": np.concatenate(docs_).tolist(), "n_tokens": np.concatenate(sizes)} | held
             before, number = before + n, number + 1
-            docs_, ids, n = [], [], 0
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], names=list(row))
-
-        from .langid import slices
+            docs_, ids, sizes, n = [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), _KINDS)], names=list(row))
 
         for whole in batches:
-            for b in slices(whole, 1 << 20):
-                for doc, got in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
-                    docs_.append(doc)
-                    ids.append(np.array([*got, END], np.uint32))
+            for b in slices(whole, BATCH):
+                got, size = encoder.encode(b.column("text"))
+                got = np.insert(got, np.cumsum(size), END)
+                size += 1
+                doc, ends, at = np.array(b.column("doc_id").to_pylist(), object), np.cumsum(size), 0
+                while at < len(size):  # documents up to the one that fills the shard
+                    base = int(ends[at - 1]) if at else 0
+                    to = min(len(size), int(np.searchsorted(ends, base + SHARD - n)) + 1)
+                    docs_.append(doc[at:to])
+                    sizes.append(size[at:to])
+                    ids.append(got[base : int(ends[to - 1])])
                     n += len(ids[-1])
-                    if n >= BLOCK:
+                    at = to
+                    if n >= SHARD:
                         yield record()
         if docs_:
             yield record()
 
-    return common.table(rows.mapInArrow(run, fields), "token-ids")
+    return common.table(rows.mapInArrow(run, common.pack(RECORD)), "token-ids")
 
 
 def documents(records: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, shard, block of each document, read back from the records' files.
+    """doc_id, start, n_tokens, ids_crc32, file, shard of each document, read back from the records' files.
 
-    start is the number of ids before the document: of earlier shards (their totals, a row each, come to the driver),
-    of earlier blocks of its shard, and of the block's documents before it.
+    start is the number of ids before the document: of earlier files (their totals, a row each, come to the driver),
+    of earlier shards of its file, and of the shard's documents before it.
     """
-    totals = {r.shard: r.n for r in records.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}
+    totals = {r.file: r.n for r in records.groupBy("file").agg(F.sum("n_ids").alias("n")).collect()}
     base, at = {}, 0
     for s in sorted(totals):
         base[s], at = at, at + totals[s]
@@ -234,13 +380,14 @@ def documents(records: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                row = {n: b.column(n)[k].as_py() for n in b.schema.names}
-                size = np.array(row["n_tokens"], np.int64)
+                row = {n: b.column(n)[k].as_py() for n in b.schema.names if n not in ("doc_ids", "n_tokens")}
+                size = b.column("n_tokens")[k].values.to_numpy()
                 ends = np.cumsum(size)
-                data = Block(row).ids().astype("<u4")
-                crc = [zlib.crc32(data[e - s : e].tobytes()) for s, e in zip(size, ends)]
-                start = base[row["shard"]] + row["shard_start"] + ends - size
-                cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array([row["shard"]] * len(crc), pa.int32()), pa.array([row["block"]] * len(crc), pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "block"])
-
-    return records.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, block int")
+                data = memoryview(Shard(row).ids().astype("<u4"))
+                crc = [zlib.crc32(data[e - s : e]) for s, e in zip(size.tolist(), ends.tolist())]
+                start = base[row["file"]] + row["file_start"] + ends - size
+                cols = [b.column("doc_ids")[k].values, pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array([row["file"]] * len(crc), pa.int32()), pa.array([row["shard"]] * len(crc), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "file", "shard"])
+
+    with common.wide_rows(records.sparkSession, 4):
+        return records.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, file int, shard int")
