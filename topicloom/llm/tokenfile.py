@@ -18,11 +18,11 @@ from .langid import slices
 
 END = 2
 #: Ids of a shard, which has one grammar; a document is never split, so a shard may exceed it by one document.
-SHARD = 1 << 22
+SHARD = 1 << 21
 #: Bytes of text that are encoded at once.
-BATCH = 1 << 23
+BATCH = 1 << 24
 #: Pieces of text that a worker remembers the ids of, and the longest that it remembers, in bytes.
-PIECES, LONGEST = 1_500_000, 64
+PIECES, LONGEST = 2_000_000, 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,46 +34,50 @@ def repair(ids: np.ndarray, first: int, least: int = 2) -> tuple[np.ndarray, lis
     the only way on; else every second one from the left. A pair left with too few places waits.
     A pair with END is never replaced, so no rule reaches over the end of a document.
     """
-    seq, rules = ids.astype(np.uint32), []
-    # open[i]: the pair (i, i + 1) may occur often enough. A pair that does not never will, unless a symbol changes
-    open_ = np.zeros(len(seq), bool)
-    open_[:-1] = (seq[:-1] != END) & (seq[1:] != END)
-    while len(at := np.flatnonzero(open_)):
-        a, b = seq[at], seq[at + 1]
-        still = np.zeros(len(seq), bool)
-        if len(same := np.flatnonzero(a == b)):  # of equal symbols in a row every second pair counts
-            odd = same[_place_in_run(at[same]) % 2 == 1]
-            still[at[odd]] = True
-            keep = np.ones(len(at), bool)
-            keep[odd] = False
-            at, a, b = at[keep], a[keep], b[keep]
+    rules: list[np.ndarray] = []
+    seq = np.append(ids, END).astype(np.uint32)  # a list linked by after and before, with an END behind the last symbol
+    after, before = np.arange(1, len(seq) + 1, dtype=np.int32), np.arange(-1, len(seq) - 1, dtype=np.int32)
+    # open_[i]: the pair that starts at i may occur often enough. A pair that does not never will, unless a symbol changes
+    open_ = np.ones(len(seq), bool)
+    open_[-1], gone = False, 0
+    while True:
+        if gone * 2 > len(seq):
+            seq, open_ = seq[live := before != -2], open_[live]
+            after, before, gone = np.arange(1, len(seq) + 1, dtype=np.int32), np.arange(-1, len(seq) - 1, dtype=np.int32), 0
+        at = np.flatnonzero(open_)
+        open_[at] = False
+        a, b = seq[at], seq[after[at]]
+        free = (a != END) & (b != END)
+        if len(same := np.flatnonzero((a == b) & free)):  # of equal symbols in a row every second pair counts
+            odd = same[_place_in_run(at[same], after) % 2 == 1]
+            open_[at[odd]] = True
+            free[odd] = False
         key = a.astype(np.uint64) << np.uint64(32) | b
+        at, key = at[free], key[free]
         bits = max(10, len(key).bit_length())
-        slot = (key * _MULT >> np.uint64(64 - bits)).astype(np.uint32)
-        often = np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] >= least)
-        at, key, slot = at[often], key[often], slot[often]
+        slot = key * _MULT >> np.uint64(64 - bits)
         kinds, count = np.unique(key, return_counts=True)
         kinds, count = kinds[count >= least], count[count >= least]
         if not len(kinds):
             break
         kinds = kinds[np.argsort(count, kind="stable")]  # a kind's number is its rank; the highest has its slot
         table = np.full(1 << bits, -1, np.int32)
-        home = (kinds * _MULT >> np.uint64(64 - bits)).astype(np.int64)
+        home = kinds * _MULT >> np.uint64(64 - bits)
         table[home] = np.arange(len(kinds), dtype=np.int32)
-        lost = np.zeros(1 << bits, bool)
-        lost[home[table[home] != np.arange(len(kinds))]] = True
         rank = table[slot]
-        found = (rank >= 0) & (kinds[rank] == key)
-        still[at[lost[slot]]] = True
+        found = kinds[rank] == key
+        if len(lost := home[table[home] != np.arange(len(kinds))]):  # kinds that wait, as another has their slot
+            other = at[~found]
+            open_[other[np.isin(slot[~found], lost)]] = True
         at, rank = at[found], rank[found]
-        still[at] = True
+        open_[at] = True
         for by_rank in (False, True) if rules else (True,):
             if by_rank:
-                beside, win = at[1:] - at[:-1] == 1, np.ones(len(at), bool)
+                beside, win = after[at[:-1]] == at[1:], np.ones(len(at), bool)
                 win[:-1] &= ~(beside & (rank[1:] > rank[:-1]))
                 win[1:] &= ~(beside & (rank[:-1] > rank[1:]))
             else:
-                win = _place_in_run(at) % 2 == 0
+                win = _place_in_run(at, after) % 2 == 0
             good = np.bincount(rank[win], minlength=len(kinds)) >= least
             if good.any():
                 break
@@ -81,27 +85,25 @@ def repair(ids: np.ndarray, first: int, least: int = 2) -> tuple[np.ndarray, lis
             break
         win &= good[rank]
         at, rank = at[win], rank[win]
+        second = after[at]
         seq[at] = first + (np.cumsum(good) - 1)[rank]
-        left = np.ones(len(seq), bool)
-        left[at + 1] = False
-        before = at - 1
-        before -= (before >= 0) & ~left[before]
-        still[at] = True
-        still[before[before >= 0]] = True
-        seq, open_ = seq[left], still[left]
-        open_[:-1] &= (seq[:-1] != END) & (seq[1:] != END)
-        open_[-1] = False
+        after[at] = after[second]
+        before[after[at]] = at
+        before[second], open_[second] = -2, False  # taken out of the list
+        gone += len(at)
+        ahead = before[at]
+        open_[ahead[ahead >= 0]] = True
         kinds = kinds[good]
         rules.append(np.stack([kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         first += len(kinds)
-    return seq, rules
+    return seq[before != -2][:-1], rules
 
 
-def _place_in_run(at: np.ndarray) -> np.ndarray:
-    """Of ascending positions: how many neighbours without a gap come before each."""
+def _place_in_run(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of ascending places in the list: how many neighbours come before each without a gap."""
     start = np.ones(len(at), bool)
-    start[1:] = at[1:] - at[:-1] > 1
-    number = np.arange(len(at))
+    start[1:] = after[at[:-1]] != at[1:]
+    number = np.arange(len(at), dtype=np.int32)
     return number - np.maximum.accumulate(np.where(start, number, 0))
 
 
@@ -172,6 +174,13 @@ class Shard:
         return out[skip : skip + stop - start]
 
 
+def _inside(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of strings or binaries without nulls; the offsets start at 0."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64) if len(strings) else np.zeros(1, np.int64)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], data
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
@@ -199,37 +208,44 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
         self.leads[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        self.known: dict[bytes, int] = {}  # the ids of piece i: sizes[i] of flat, from starts[i] on
+        self.known = pa.array([], pa.binary())  # the ids of piece i: sizes[i] of flat, from starts[i] on
         self.flat, self.filled = np.empty(1 << 20, np.uint32), 0
-        self.starts, self.sizes, self.again = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), np.zeros(1 << 16, bool)
+        self.starts, self.sizes, self.again = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32), np.zeros(1 << 16, bool)
 
     def _forget(self) -> None:
         """Keeps the pieces that several batches had, if they leave half of the room."""
-        kept = [(k, i) for k, i in self.known.items() if self.again[i]]
-        kept = kept if len(kept) <= PIECES // 2 else []
-        at = np.array([i for _, i in kept], np.int64)
-        size = self.sizes[at]
-        ids = self.flat[np.repeat(self.starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        self.known, self.filled = {k: i for i, (k, _) in enumerate(kept)}, 0
+        at = np.flatnonzero(self.again[: len(self.known)])
+        at = at if len(at) <= PIECES // 2 else at[:0]
+        ids, size = self._gather(at), self.sizes[at]
+        self.known, self.filled = self.known.take(pa.array(at)), 0
         self.again[:] = False
         self._learn(ids, size, 0)
 
+    def _gather(self, order: np.ndarray) -> np.ndarray:
+        """The ids of the pieces, one after the other."""
+        size = self.sizes[order]
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(self.starts[order] - ends + size, size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at]
+
     def _many(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each) of pieces that begin with their only white space, a space: encoded some hundred
         at once and told apart by the ids that begin with a space."""
-        joined = [b"".join(pieces[i : i + 256]).decode() for i in range(0, len(pieces), 256)]
-        ids = np.concatenate([np.array(x, np.uint32) for x in self._many(joined)])
+        offsets, data = _inside(pieces)
+        cuts = [*offsets[::256].tolist(), int(offsets[-1])]
+        ids = np.concatenate([np.array(x, np.uint32) for x in self._many([data[i:j].tobytes().decode() for i, j in zip(cuts, cuts[1:]) if i < j])])
         at = np.flatnonzero(self.leads[ids])
         if len(at) != len(pieces) or at[0]:
             return self._each(pieces)
         return ids, np.diff(np.append(at, len(ids)))
 
-    def _each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = self._many([p.decode() for p in pieces])
-        return np.concatenate([np.array(x, np.uint32) for x in got]), np.array([len(x) for x in got], np.int64)
+    def _each(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = self._many([p.decode() for p in pieces.to_pylist()])
+        return np.concatenate([np.array(x, np.uint32) for x in got]), np.array([len(x) for x in got], np.int32)
 
     def _learn(self, ids: np.ndarray, sizes: np.ndarray, first: int) -> None:
         """Notes the ids of pieces first, first + 1 and so on."""
@@ -244,9 +260,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each). texts: strings without nulls."""
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
+        offsets, data = _inside(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         cut = np.zeros(len(data) + 1, bool)
@@ -262,34 +276,27 @@ class Encoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
-        kinds = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        kinds = pieces.dictionary
         if len(self.known) + len(kinds) > PIECES:
             self._forget()
-        number = np.array([self.known.get(k, -1) for k in kinds], np.int64)
+        number = pc.fill_null(pc.index_in(kinds, value_set=self.known), -1).to_numpy().copy()
         self.again[number[number >= 0]] = True
-        new = np.flatnonzero(number < 0).tolist()
-        words, rest, long = [], [], []
-        for i in new:
-            k = kinds[i]
-            (long if len(k) > LONGEST else words if k[0] == 32 and len(k) > 1 and k[1] != 32 and not 9 <= k[1] <= 13 else rest).append(i)
-        if not self.usual:
-            words, rest = [], words + rest
-        at, filled = len(self.known), 0
-        for kind, encode in ((words, self._words), (rest, self._each), (long, self._each)):
-            if kind:
-                if kind is long:
-                    filled = self.filled
-                self._learn(*encode([kinds[i] for i in kind]), at)
-                number[kind] = np.arange(at, at + len(kind))
-                at += len(kind)
-                if kind is not long:
-                    self.known.update(zip((kinds[i] for i in kind), number[kind].tolist()))
+        new = np.flatnonzero(number < 0)
+        at, inner = _inside(kinds)
+        long = np.diff(at)[new] > LONGEST
+        word = ~long & (inner[at[new]] == 32) & ~_BLANK[inner[np.minimum(at[new] + 1, len(inner) - 1)]] & (np.diff(at)[new] > 1) & self.usual
+        filled = None
+        for which, encode in ((word, self._words), (~word & ~long, self._each), (long, self._each)):
+            if which is long:
+                filled, known = self.filled, self.known  # what is long is not remembered
+            if which.any():
+                some = kinds.take(pa.array(new[which]))
+                self._learn(*encode(some), len(self.known))
+                number[new[which]] = np.arange(len(self.known), len(self.known) + len(some))
+                self.known = pa.concat_arrays([self.known, some])
         order = number[pieces.indices.to_numpy()]
-        size = self.sizes[order]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.starts[order] - ends + size, size) + np.arange(ends[-1])]
-        if filled or long:
-            self.filled = filled
+        ids, ends = self._gather(order), np.cumsum(self.sizes[order])
+        self.filled, self.known = filled, known
         upto = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
         return ids, np.diff(upto)
 
