@@ -26,8 +26,47 @@ def test_null_ids_link(spark):
     assert collections.Counter((r.doc_id, r.component_id) for r in got) == {(3, 3): 1, (None, 3): 1, (9, 3): 1, (None, None): 4, (4, 4): 1}
 
 
-def test_clipped_counts_bound_nothing():
-    counts = np.full(ngram_join.DIMS, 72000)  # a set of 9.2 million shingles, and a near copy
-    points = ngram_join._points([np.minimum(c, 65535).astype(np.uint16).tobytes() for c in (counts, counts - 100, counts // 2)])
-    sizes = np.array([counts.sum(), (counts - 100).sum(), (counts // 2).sum()])
-    assert ngram_join.survivors([1, 2, 3], [1, 2, 3], points, sizes, [2, 2, 2], 85) == [(1, 2)]
+def test_survivors_are_those_of_brute_force():
+    """Clipped counts bound nothing; blocks; the best of each member, and whether there were more."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(150, 190, 70)
+    points = [ngram_join.point(np.unique(rng.integers(0, 1 << 16, 3 * n, dtype=np.uint64))[:n]) for n in sizes]
+    points += [np.minimum(p.astype(int) + 250 * (rng.random(len(p)) < 0.02), 255).astype(np.uint8) for p in points[:9]] + points[:20]
+    sizes = np.concatenate([sizes, sizes[:9], sizes[:20]])
+    ids, comps, held = rng.permutation(len(sizes)), rng.integers(0, 9, len(sizes)), ngram_join.aligned(points)
+    for side in (np.full(len(sizes), 2), rng.integers(0, 2, len(sizes))):
+        want = {}
+        for i in range(len(ids)):
+            for j in range(len(ids)):
+                bound = np.minimum(held[i], held[j]).sum()
+                if ids[i] < ids[j] and comps[i] != comps[j] and (side[i] == 2 or side[i] != side[j]) and bound >= ngram_join.enough(sizes[i], sizes[j], 85):
+                    want[ids[i], ids[j]] = bound
+        a, b, more = ngram_join.survivors(ids, comps, held, sizes, side, 85, 1000)
+        assert want and not more and set(zip(a.tolist(), b.tolist())) == set(want)
+        a, b, more = ngram_join.survivors(ids, comps, held, sizes, side, 85, 1)
+        assert set(zip(a.tolist(), b.tolist())) <= set(want) and len(a) <= len(ids) and more
+
+
+def test_rounds_find_all_links(spark, monkeypatch):
+    """Families whose members link to few others: with one candidate a member and small trees the components stay."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    texts = []
+    for _ in range(4):
+        base = list(rng.choice(vocabulary, 60))
+        for _ in range(40):
+            copy = list(base)
+            for k in rng.integers(0, 60, rng.integers(0, 3)):
+                copy[k] = str(rng.choice(vocabulary))
+            texts.append(copy)
+    shingled = [{tuple(t[i : i + 4]) for i in range(len(t) - 3)} for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(shingled):
+        for j in range(i):
+            if 100 * len(x & shingled[j]) >= 85 * len(x | shingled[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BEST", 1)
+    monkeypatch.setattr(ngram_join, "TREE", 8)
+    assert [r.component_id for r in ngram_join.join(df).orderBy("doc_id").collect()] == root and len(set(root)) > 4

@@ -344,15 +344,16 @@ def test_ngram_join(docs, empty, width, threshold):
         assert ngram_join.join(empty).count() == 0
 
 
-def test_fine_vectors_bound_the_overlap():
+def test_points_bound_the_overlap():
     rng = np.random.default_rng(3)
     for a, b in ((40, 700), (3000, 2900), (2500, 90), (5000, 5000)):
         both = rng.integers(0, 1 << 63, 2 * (a + b), dtype=np.uint64)
         x, y = np.unique(both[:a]), np.unique(both[a // 3 : a // 3 + b])
-        bound = ngram_join.fine_bound(ngram_join.fine_vector(x), ngram_join.fine_vector(y))
-        assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
-    crowded = ngram_join.fine_vector(np.arange(300, dtype=np.uint64) << np.uint64(20))
-    assert not len(crowded) and ngram_join.fine_bound(crowded, ngram_join.fine_vector(x)) >= 300
+        p, q = ngram_join.aligned([ngram_join.point(x), ngram_join.point(y)])
+        assert len(np.intersect1d(x, y)) <= np.minimum(p, q).sum(dtype=np.int64) <= min(len(x), len(y))
+    crowded = ngram_join.point(np.arange(300, dtype=np.uint64) << np.uint64(20))  # all in one group
+    p, q = ngram_join.aligned([crowded, ngram_join.point(x)])
+    assert np.minimum(p, p).sum() >= 300 and np.minimum(p, q).sum() >= q[0]
 
 
 def test_ngram_join_of_large_sets(spark):

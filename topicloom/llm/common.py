@@ -39,7 +39,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts the lineage, and outlives lost executors."""
     spark = df.sparkSession
     df.write.parquet(path := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what table() wrote, once all that reads it has been written itself. Other frames are left alone."""
+    for df in tables:
+        if path := df.__dict__.get("stored"):
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager
@@ -96,10 +107,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         hooked = hooked.join(learnt, "node", "left").select("node", "old", F.least("root", F.coalesce("told", "root")).alias("root"))
         hooked = table(hooked, "labels")
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        labels = table(hooked.join(up, "root", "left").select("node", "old", F.coalesce("up", "root").alias("root")), "labels")
+        after = table(hooked.join(up, "root", "left").select("node", "old", F.coalesce("up", "root").alias("root")), "labels")
+        discard(labels, hooked)
+        labels = after
         if labels.where("root <> old").isEmpty():
+            discard(both)
             return labels.select("node", "root")
-        labels = labels.select("node", "root")
 
 
 def pack(schema: str) -> T.StructType:

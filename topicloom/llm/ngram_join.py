@@ -8,16 +8,17 @@ those as keys too. Sizes fall into bands of ratio 1/t; a document has the keys o
 
 Under a key, first every class meets the one that has most keys in common with others, the original of many copies for
 one; links found so join classes to components. Once more each key's members meet the one with most keys outside the
-first one's component. Keys that still hold several components go to count-vector R-trees: a class is the point of how many of its shingles fall into each of DIMS
-groups, a node keeps its points' coordinate maxima, and the sum over coordinates of the smaller of a query's count and
-the node's maximum bounds the overlap. Pairs of different components that survive the same bound on points meet it once
-more on vectors with groups in proportion to the set, as 128 groups say little of a large set, and are then verified on
-the sets. Large keys are searched in pairs of blocks.
+first one's component. Keys that still hold several components go to count-vector R-trees: a class is the point of how
+many of its shingles fall into each of at least DIMS groups, more for large sets, so that a group has LOAD shingles at
+most on average; a node keeps its points' coordinate maxima, and the sum over coordinates of the smaller of a query's count
+and the node's maximum bounds the overlap. Points, a byte a group, are made in the first pass over the texts. A member
+gives its best candidates outside its component; those that pass the bound are verified on their sets, which are only
+made of texts that are asked for. Keys that had more candidates come again with a larger allowance until none has.
 """
 
 from __future__ import annotations
 
-import logging
+import functools
 import math
 from collections.abc import Iterator
 
@@ -30,13 +31,14 @@ from . import common
 from .langid import slices
 from .rolling import Sums, mix
 
-log = logging.getLogger("topicloom")
 DIMS = 128
+#: Shingles of a set in a group of its point, on average, at most.
+LOAD = 12
 FAN = 16
-#: Members of a key that one R-tree holds.
-TREE = 256
-#: Rounds in which the members of a key meet one of them.
-STARS = 2
+#: Members of a key that one R-tree holds; keys with more are searched in pairs of blocks.
+TREE = 1024
+#: Candidates that a member of a key gives in the first round; eight times as many in each later one.
+BEST = 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -131,36 +133,25 @@ def keys(who: np.ndarray, h: np.ndarray, n: np.ndarray, t: int) -> tuple[np.ndar
     return np.concatenate(out_who), np.concatenate(out_key)
 
 
-def vectors(who: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
-    """[texts, DIMS] counts of shingles by group."""
-    cell = who * DIMS + (h & np.uint64(DIMS - 1)).astype(np.int64)
-    return np.bincount(cell, minlength=texts * DIMS).reshape(texts, DIMS)
-
-
-def fine_vector(h: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles in so many groups that one has eight of them at most on average, DIMS at least. Empty,
-    which bounds nothing, if a count does not fit a byte."""
+def point(h: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles by group; 255 and more are 255, which bounds nothing."""
     dims = DIMS
-    while dims * 8 < len(h):
+    while dims * LOAD < len(h):
         dims *= 2
-    count = np.bincount((h & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
-    return count.astype(np.uint8) if count.max() < 256 else np.zeros(0, np.uint8)
+    return np.minimum(np.bincount((h & np.uint64(dims - 1)).astype(np.int64), minlength=dims), 255).astype(np.uint8)
 
 
-def fine_bound(x: np.ndarray, y: np.ndarray) -> int:
-    """The most shingles that two sets with these fine vectors have in common; groups of the longer one are added up."""
-    dims = min(len(x), len(y))
-    if not dims:
-        return np.iinfo(np.int64).max
-    x, y = (v.astype(np.int64).reshape(-1, dims).sum(axis=0) for v in (x, y))
-    return int(np.minimum(x, y).sum())
+def aligned(points: list[np.ndarray]) -> np.ndarray:
+    """[points, groups] counts; groups of the longer points are added up to those of the shortest."""
+    dims = min(len(p) for p in points)
+    if all(len(p) == dims for p in points):
+        out = np.concatenate(points).reshape(-1, dims)
+        return _opened(out) if (out == 255).any() else out
+    return np.stack([_opened(p).reshape(-1, dims).sum(axis=0) for p in points])
 
 
-def _points(blobs: list[bytes]) -> np.ndarray:
-    """Count vectors as they are held; a count that may have been clipped bounds nothing."""
-    points = np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, DIMS).astype(np.int32)
-    points[points == 65535] = np.iinfo(np.int32).max
-    return points
+def _opened(x: np.ndarray) -> np.ndarray:
+    return np.where(x == 255, 1 << 40, x.astype(np.int64))
 
 
 def enough(a, b, t: int):
@@ -176,7 +167,7 @@ class RTree:
         self.order = self._tile(np.arange(len(points)))
         high, small = points[self.order], sizes[self.order]
         self.levels = [(high, small)]
-        while len(high) > 1:
+        while len(high) > FAN:
             cut = np.arange(0, len(high), FAN)
             high, small = np.maximum.reduceat(high, cut), np.minimum.reduceat(small, cut)
             self.levels.append((high, small))
@@ -189,16 +180,20 @@ class RTree:
         half = -(-len(rows) // (2 * FAN)) * FAN
         return np.concatenate([self._tile(rows[:half]), self._tile(rows[half:])])
 
-    def search(self, point: np.ndarray, size: int, t: int) -> np.ndarray:
-        """Rows whose overlap with the query may suffice."""
-        at = np.zeros(1, np.int64)
+    def search(self, points: np.ndarray, sizes: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, bound): pairs whose overlap may suffice, level by level for all queries at once."""
+        top = len(self.levels[-1][0])
+        query, at = np.repeat(np.arange(len(points)), top), np.tile(np.arange(top), len(points))
         for k in range(len(self.levels) - 1, -1, -1):
             high, small = self.levels[k]
-            at = at[np.minimum(high[at], point).sum(axis=1, dtype=np.int64) >= enough(size, small[at], t)]
-            if k and len(at):
-                at = (at[:, None] * FAN + np.arange(FAN)).reshape(-1)
-                at = at[at < len(self.levels[k - 1][0])]
-        return self.order[at]
+            bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(high[at[i : i + 4096]], points[query[i : i + 4096]]).sum(axis=1, dtype=np.int64) for i in range(0, len(at), 4096))])
+            may = bound >= enough(sizes[query], small[at], t)
+            query, at, bound = query[may], at[may], bound[may]
+            if k:
+                query, at = np.repeat(query, FAN), (at[:, None] * FAN + np.arange(FAN)).reshape(-1)
+                inside = at < len(self.levels[k - 1][0])
+                query, at = query[inside], at[inside]
+        return query, self.order[at], bound
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -209,20 +204,23 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def survivors(ids: list, comps: list, points: np.ndarray, sizes: np.ndarray, side: list[int], t: int) -> list[tuple]:
-    """Pairs (smaller, larger) of different components whose points allow a link. side: 0 or 1 for the two blocks, which
-    are only compared with each other, or 2 for members of one block compared among themselves."""
-    held = [i for i in range(len(ids)) if side[i] != 1]
-    if not held:
-        return []
-    tree, out = RTree(points[held], sizes[held]), []
-    for j in range(len(ids)):
-        if side[j]:
-            for k in tree.search(points[j], int(sizes[j]), t):
-                i = held[k]
-                if comps[i] != comps[j] and (side[j] == 1 or ids[i] < ids[j]):
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-    return out
+def survivors(ids: np.ndarray, comps: np.ndarray, points: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: int, best: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(smaller, larger, more): pairs of different components whose points allow a link, at most `best` of each member,
+    those with the highest bound; more: some member had further ones. side: 0 or 1 for the two blocks, which are only
+    compared with each other, or 2 for members of one block compared among themselves."""
+    held, asks = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    none = np.zeros(0, np.int64)
+    if not len(held) or not len(asks):
+        return none, none, False
+    query, row, bound = RTree(points[held], sizes[held]).search(points[asks], sizes[asks], t)
+    i, j = held[row], asks[query]
+    use = (comps[i] != comps[j]) & ((side[j] == 1) | (ids[i] != ids[j]))
+    i, j, bound = i[use], j[use], bound[use]
+    order = np.lexsort((ids[i], -bound, j))
+    i, j = i[order], j[order]
+    place = np.arange(len(j)) - np.searchsorted(j, j)
+    first = place < best
+    return np.minimum(ids[i], ids[j])[first], np.maximum(ids[i], ids[j])[first], not first.all()
 
 
 def join(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
@@ -253,14 +251,26 @@ def linked(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, who, h, n, c in read(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(c.view(np.int64))], names=["doc_id", "text_hash", "n", "c"])
+            ends = np.cumsum(n)
+            points = pa.array([k.to_bytes(8, "little") + point(h[e - k : e]).tobytes() if k else None for e, k in zip(ends.tolist(), n.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(c.view(np.int64)), points], names=["doc_id", "text_hash", "n", "c", "point"])
 
-    sized = common.table(lean.mapInArrow(sizes, "doc_id long, text_hash long, n long, c long"), "ngram-sizes")
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))  # a row that has the class's set
-    nodes = common.table(sized.where("n > 0").groupBy(F.col("c").alias("node")).agg(one.alias("one")).select("node", "one.*"), "ngram-classes")
+    with common.wide_rows(spark, 4096):
+        sized = common.table(lean.mapInArrow(sizes, "doc_id long, text_hash long, n long, c long, point binary"), "ngram-sizes")
+    # point: the set's size, eight bytes, and its counts; one: a row that has the class's set
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
+    nodes = sized.where("n > 0").groupBy(F.col("c").alias("node")).agg(one, F.first("n").alias("n"), F.first("point").alias("point"))
+    nodes = common.table(nodes.select("node", "one.*", "n", "point"), "ngram-classes")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each class that the task meets its keys, once."""
+        had = np.zeros(0, np.uint64)
         for _, who, h, n, c in read(batches):
+            kinds, at = np.unique(c, return_index=True)
+            new = np.zeros(len(n), bool)
+            new[at[~np.isin(kinds, had)]] = True
+            had = np.union1d(had, kinds)
+            who, h, n = who[new[who]], h[new[who]], np.where(new, n, 0)
             text, key = keys(who, h, n, threshold)
             for at in range(0, len(key), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(key[at : at + (1 << 16)]), pa.array(c[text[at : at + (1 << 16)]].view(np.int64))], names=["key", "c"])
@@ -296,137 +306,168 @@ def linked(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     common.release(spark)
 
     place = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "text_hash"]
-    asked = met.select(F.col("c").alias("node")).union(met.select(F.col("least").alias("node"))).distinct().join(nodes, "node").select(*place, F.col("node").alias("want"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by id and text: the first of each class that is asked for."""
-        last = None
+        """The sets of texts whose class is asked for."""
         for b, who, h, n, c in read(batches):
-            want, ends, rows = b.column("want").to_numpy(), np.cumsum(n), []
-            for i in np.flatnonzero(c.view(np.int64) == want):
-                if want[i] != last:
-                    rows.append(i)
-                    last = want[i]
-            own = [h[ends[i] - n[i] : ends[i]] for i in rows]
-            points = np.minimum(vectors(who, h, len(n)), 65535).astype(np.uint16)
-            blobs = [x.tobytes() for x in own], [points[i].tobytes() for i in rows], [fine_vector(x).tobytes() for x in own]
-            cols = [pa.array(want[rows], pa.int64()), pa.array(n[rows], pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "hashes", "point", "fine"])
-
-    asked = common.table(asked, "ngram-asked")
-    # texts are dealt by id and text once, which serves the join and brings rows that repeat both together; sets do not move.
-    # Of texts without an id one is enough, so that their copies do not meet in one task
-    texts = lean.where("doc_id is not null").union(lean.where("doc_id is null").dropDuplicates(["text_hash"])).select(*place, "text")
-    got = texts.repartition("id", "none", "text_hash").join(asked, ["id", "none", "text_hash"]).sortWithinPartitions("id", "none", "text_hash")
-    kept = common.table(got.select("text", "want").mapInArrow(sets_of, "node long, n long, hashes binary, point binary, fine binary"), "ngram-sets")
-    points, sets = kept.select("node", "n", "point"), kept.select("node", "hashes")
-    common.release(spark)
-
-    of = lambda side, name, point="point": kept.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col(point).alias(name))
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = _points(b.column("p").to_pylist()), _points(b.column("q").to_pylist())
-                n = b.column("na").to_numpy() + b.column("nb").to_numpy()
-                yield b.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1, dtype=np.int64) >= enough(0, n, threshold)))
-
-    def sharpen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            need = enough(0, b.column("na").to_numpy() + b.column("nb").to_numpy(), threshold)
-            vector = lambda v: np.frombuffer(v.as_buffer(), np.uint8)
-            keep = [fine_bound(vector(x), vector(y)) >= k for x, y, k in zip(b.column("p"), b.column("q"), need)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Those of distinct pairs (a, b) that link. The set of an a goes to each salt of its partners once."""
-        with common.wide_rows(spark):
-            pairs = common.table(pairs.join(of("a", "p", "fine"), "a").join(of("b", "q", "fine"), "b").mapInArrow(sharpen, "a long, b long"), "ngram-pairs")
-        common.release(spark)
-        fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.greatest(F.lit(1), F.ceil(F.col("n") / 64)).alias("parts"))
-        leaves = common.table(pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt")), "ngram-pairs")
-        centres = leaves.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
-        leaves = leaves.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "hashes")
+            want, ends = b.column("want").to_numpy(), np.cumsum(n)
+            rows = np.flatnonzero(c.view(np.int64) == want)
+            yield pa.RecordBatch.from_arrays([pa.array(want[rows], pa.int64()), pa.array([h[ends[i] - n[i] : ends[i]].tobytes() for i in rows], pa.binary())], names=["node", "hashes"])
+
+    sets: list[DataFrame] = []
+    held = lambda: functools.reduce(DataFrame.union, sets)
+
+    def make_sets(pairs: DataFrame) -> None:
+        """Writes the sets of classes that pairs name and that are not yet there; a text is read for each."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        if sets:
+            asked = asked.join(held().select("node"), "node", "left_anti")
+        asked = common.table(asked.join(nodes, "node").select(*place, F.col("node").alias("want")), "ngram-asked")
+        # rows that repeat both id and text count once; of texts without an id one is enough, before they are dealt out
+        texts = lean.where("doc_id is not null").union(lean.where("doc_id is null").dropDuplicates(["text_hash"])).select(*place, "text")
+        got = texts.join(asked, key := ["id", "none", "text_hash"]).dropDuplicates(key).select("want", "text")
+        sets.append(common.table(got.mapInArrow(sets_of, "node long, hashes binary"), "ngram-sets"))
+        common.discard(asked)
+
+    def stars(pairs: DataFrame, blobs: DataFrame, parts: int, test, name: str) -> DataFrame:
+        """Those of distinct pairs (a, b) that pass the test. What an a has goes to each salt of its partners once, about
+        `parts` of them; test(centre, leaves) tells which of the leaves pass."""
+        fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).select("a", F.greatest(F.lit(1), F.ceil(F.col("m") / parts)).alias("parts"))
+        leaves = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
+        centres = fan.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+        centres = centres.join(blobs.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "blob")
+        leaves = leaves.join(blobs.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "blob")
 
         def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centre, of = None, None
             for batch in batches:
-                out_a, out_b = [], []
-                for a, b, blob in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("hashes")):
-                    own = np.frombuffer(blob.as_buffer(), np.uint64)
-                    if b is None:
-                        centre, of = own.copy(), a
-                    elif of == a and _overlap(centre, own) >= enough(len(centre), len(own), threshold):
-                        out_a.append(a)
-                        out_b.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                a, b = batch.column("a").to_numpy(), batch.column("b").is_null().to_numpy(zero_copy_only=False)
+                blob, out = batch.column("blob"), np.zeros(batch.num_rows, bool)
+                for i, j in _runs(a, b):
+                    if b[i]:
+                        centre, of = np.frombuffer(blob[i].as_buffer(), np.uint8).copy(), a[i]
+                        i += 1
+                    if i < j and of == a[i]:
+                        out[i:j] = test(centre, [np.frombuffer(blob[k].as_buffer(), np.uint8) for k in range(i, j)])
+                yield batch.select(["a", "b"]).filter(pa.array(out))
 
         rows = centres.unionByName(leaves).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        with common.wide_rows(spark):
-            return common.table(rows.select("a", "b", "hashes").mapInArrow(star, "a long, b long"), "ngram-links")
+        with common.wide_rows(spark, 512):
+            return common.table(rows.select("a", "b", "blob").mapInArrow(star, "a long, b long"), name)
+
+    def near(centre: np.ndarray, leaves: list[np.ndarray]) -> np.ndarray:
+        """Whether points allow a link."""
+        n, size = np.array([x[:8].view(np.int64)[0] for x in leaves]), int(centre[:8].view(np.int64)[0])
+        points = aligned([centre[8:], *(x[8:] for x in leaves)])
+        return np.minimum(points[0], points[1:]).sum(axis=1, dtype=np.int64) >= enough(size, n, threshold)
+
+    def linking(centre: np.ndarray, leaves: list[np.ndarray]) -> list[bool]:
+        own, others = centre.view(np.uint64), [x.view(np.uint64) for x in leaves]
+        return [_overlap(own, x) >= enough(len(own), len(x), threshold) for x in others]
+
+    pointed = nodes.select("node", F.col("point").alias("blob"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        make_sets(pairs)
+        return stars(pairs, held().withColumnRenamed("hashes", "blob"), 64, linking, "ngram-links")
 
     tried = common.table(spark.createDataFrame([], "a long, b long"), "ngram-tried")
     links, roots = tried, nodes.limit(0).select("node", F.col("node").alias("root"))
     named = met.select("key", F.col("c").alias("node")).union(met.select("key", F.col("least").alias("node")).distinct())
     named = common.table(named, "ngram-members")
+    common.discard(met)
     fame = common.table(named.groupBy("node").agg(F.count(F.lit(1)).alias("fame")), "ngram-fame")
-    for _ in range(STARS):
-        member = named.join(fame, "node").join(roots, "node", "left").select("key", "node", "fame", F.coalesce("root", "node").alias("comp"))
-        member = common.table(member, "ngram-fame")
+    for first in (True, False):
+        member = common.table(named.join(fame, "node").join(roots, "node", "left").select("key", "node", "fame", F.coalesce("root", "node").alias("comp")), "ngram-fame")
         heads = member.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("fame", "node")).alias("h")).select("key", F.col("h.node").alias("h"), F.col("h.comp").alias("hc"))
-        heads = common.table(heads, "ngram-heads")
         # the first time the head meets all; later its component is done, and the next head outside it meets all others
-        if roots.isEmpty():
-            pairs = member.join(heads, "key").where("node <> h")
-        else:
+        if not first:
             outside = member.join(heads, "key").where("comp <> hc")
-            second = common.table(outside.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("fame", "node")).alias("g")), "ngram-heads")
-            pairs = member.join(second.select("key", F.col("g.node").alias("h"), F.col("g.comp").alias("hc")), "key").where("comp <> hc")
-        pairs = common.table(pairs.select(F.col("h").alias("a"), F.col("node").alias("b")).distinct().join(of("a", "p"), "a").join(of("b", "q"), "b").mapInArrow(bound, "a long, b long"), "ngram-stars")
-        links = common.table(links.union(verify(pairs)), "ngram-links")
-        tried = common.table(tried.union(pairs), "ngram-tried")
+            second = outside.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("fame", "node")).alias("g"))
+            heads = second.select("key", F.col("g.node").alias("h"), F.col("g.comp").alias("hc"))
+        heads = common.table(heads, "ngram-heads")
+        pairs = member.join(heads, "key").where("node <> h" if first else "comp <> hc").select(F.col("h").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = common.table(pairs, "ngram-stars")
+        passed = stars(pairs, pointed, 4096, near, "ngram-near")
+        common.discard(member, heads, pairs)
+        common.release(spark)
+        links, tried = common.table(links.union(verify(passed)), "ngram-links"), common.table(tried.union(passed), "ngram-tried")
+        common.discard(passed)
         roots = common.components(links, "a", "b")
         common.release(spark)
 
     # keys that hold several components
     member = common.table(named.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp")), "ngram-members")
-    seen = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.hash(F.col("node"), F.lit(1)).cast("long")).alias("s1"), F.sum(F.hash(F.col("node"), F.lit(2)).cast("long")).alias("s2"))
-    alive = seen.where("lo <> hi").groupBy("m", "s1", "s2").agg(F.min("key").alias("key"))  # equal member sets once
+    seen = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("s2"))
+    alive = seen.where("lo <> hi").groupBy("m", "s1", "s2").agg(F.min("key").alias("key"))  # equal member sets, by 128 bits, once
     alive = common.table(alive.select("key", F.ceil(F.col("m") / TREE).cast("int").alias("blocks")), "ngram-open")
     more = member.join(alive, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
     more = more.select("key", "node", "comp", "block", F.explode(each).alias("pair")).select("key", "node", "comp", "pair.x", "pair.y", F.when(F.col("pair.x") == F.col("pair.y"), 2).when(F.col("block") == F.col("pair.x"), 0).otherwise(1).alias("side"))
-    more = more.join(points, "node")
-
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of = [], None
-
-        def solve() -> pa.RecordBatch:
-            columns = list(zip(*held))
-            got = survivors(columns[0], columns[1], _points(columns[4]), np.array(columns[3]), columns[2], threshold) if len(set(columns[1])) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            for k, x, y, *r in zip(*(batch.column(n).to_pylist() for n in ("key", "x", "y", "node", "comp", "side", "n", "point"))):
-                if of != (k, x, y):
-                    if held:
-                        yield solve()
-                    held, of = [], (k, x, y)
-                held.append(r)
-        if held:
-            yield solve()
-
-    trees = more.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(forest, "a long, b long").distinct()
+    more = common.table(more, "ngram-more")
+    common.discard(member, alive, named, fame)
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    later = common.table(trees.join(tried, ["a", "b"], "left_anti"), "ngram-later")
-    common.release(spark)
-    log.info("pairs for verification: %d", later.count())
-    if not later.isEmpty():
-        roots = common.components(links.union(verify(later)), "a", "b")
+    best = BEST
+    while not more.isEmpty():
+        found = common.table(_searched(more.join(nodes.select("node", "n", "point"), "node"), threshold, best), "ngram-trees")
+        later = common.table(found.where("b is not null").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-later")
+        common.release(spark)
+        if not later.isEmpty():
+            links, tried = common.table(links.union(verify(later)), "ngram-links"), common.table(tried.union(later), "ngram-tried")
+            roots = common.components(links, "a", "b")
+        again = more.join(found.where("b is null").select(F.col("a").alias("key")).distinct(), "key", "left_semi").drop("comp").join(roots, "node", "left")
+        more = common.table(again.select("key", "node", F.coalesce("root", "node").alias("comp"), "x", "y", "side"), "ngram-more")
+        common.discard(found, later)
+        best *= 8
     reached = common.table(nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "ngram-roots")
     least = reached.groupBy("root").agg(F.min("doc_id").alias("component"))
     final = common.table(reached.join(least, "root").select(F.col("node").alias("c"), "root", "component"), "ngram-roots")
     common.release(spark)
+    common.discard(*sets, nodes, reached)
     some = sized.where("n > 0").join(final, "c", "left").select("doc_id", "text_hash", "n", "root", "component")
     out = some.union(sized.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long"), F.col("doc_id").alias("component")))
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _runs(a: np.ndarray, opens: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of rows of equal a, also parted where a row opens one."""
+    start = np.ones(len(a), bool)
+    start[1:] = (a[1:] != a[:-1]) | opens[1:]
+    at = np.flatnonzero(start).tolist()
+    return list(zip(at, [*at[1:], len(a)]))
+
+
+def _searched(members: DataFrame, threshold: int, best: int) -> DataFrame:
+    """Pairs (a, b) of members of a key that R-trees let through, and (key, null) of keys that have more of them."""
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            batch = table.to_batches()[0] if table.num_rows else batch
+            names = [batch.column(n).to_numpy() for n in ("key", "x", "y")]
+            cut = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in names], axis=0)])) if batch.num_rows else np.zeros(0, np.int64)
+            if len(cut):
+                yield from solved(batch.slice(0, cut[-1]), cut[:-1])
+                rest = batch.slice(cut[-1])
+        if rest is not None and rest.num_rows:
+            yield from solved(rest, np.zeros(1, np.int64))
+
+    def solved(batch: pa.RecordBatch, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(cut):
+            return
+        key, ids, comps, sizes, side = (batch.column(n).to_numpy() for n in ("key", "node", "comp", "n", "side"))
+        points, out = batch.column("point"), []
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), batch.num_rows]):
+            if (comps[i:j] != comps[i]).any():
+                held = aligned([np.frombuffer(points[k].as_buffer(), np.uint8)[8:] for k in range(i, j)])
+                a, b, more = survivors(ids[i:j], comps[i:j], held, sizes[i:j], side[i:j], threshold, best)
+                out.append((a, b, np.zeros(len(a), bool)))
+                if more:
+                    out.append((key[i : i + 1], key[i : i + 1], np.ones(1, bool)))
+        if out:
+            a, b, none = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=none)], names=["a", "b"])
+
+    rows = members.select("key", "x", "y", "side", "node", "comp", "n", "point").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+    return rows.mapInArrow(forest, "a long, b long")
