@@ -188,6 +188,43 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert len({b for b, _ in packing.best_fit([(1, k, 5) for k in range(7)], 10)}) == 7
 
 
+def test_blocks_follow_the_tree(spark):
+    """Each source's blocks per shard are the tree's, shards are even in blocks, whole and partly taken sources alike."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), ("a", "b", "c", "d", None)[int(i % 10 > 4) * (i % 5)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    blocks, drawn, held = {}, mixing.draw, []
+    mixing.draw = lambda b, shards, seed: held.append((b, shards, seed)) or drawn(b, shards, seed)
+    try:
+        got = mixing.mix(df).collect()
+    finally:
+        mixing.draw = drawn
+    (quotas, shards, seed), = held
+    tree = mixing.splitting_tree([len(b) for b in quotas], shards, seed)
+    places = drawn(quotas, shards, seed)
+    for i, own in enumerate(places):
+        assert sorted(own) == sorted(quotas[i]) and np.bincount(list(own.values()), minlength=shards).tolist() == tree[:, i].tolist()
+    assert np.ptp(tree.sum(axis=1)) <= 4
+    words = collections.Counter()
+    for r in got:
+        for c in r._copies:
+            words[c.shard] += r._size
+    assert len(words) == 16 and max(words.values()) < 1.3 * min(words.values())
+    files = mixing.in_shards(mixing.mix(df), ["doc_id"])
+    assert files.count() == sum(len(r._copies) for r in got)
+    per_file = {}
+    for r in files.withColumn("p", F.spark_partition_id()).collect():
+        per_file.setdefault(r.p, []).append(r.doc_id)
+    by_order = {}
+    for r in got:
+        for c in r._copies:
+            by_order.setdefault(c.shard, []).append((c.order, r.doc_id))
+    parts = max(per_file) // 16 + 1 if max(per_file) >= 16 else 1
+    for shard, rows in by_order.items():
+        told = [d for p in range(shard * parts, (shard + 1) * parts) for d in per_file.get(p, [])]
+        assert told == [d for _, d in sorted(rows)]
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(corpus())
@@ -200,6 +237,8 @@ def test_mixing(docs, empty):
     assert sum(target.values()) == pytest.approx(1.5 * sum(size[r[0]] for r in corpus()))
     for s in target:
         assert abs(taken[s] - target[s]) <= max(60, 0.05 * target[s]), s
+    shards = [c.shard for r in got for c in r._copies]
+    assert min(shards) >= 0 and max(shards) < 16 and all(len(r._copies) * r._size == r._taken for r in got)
     again = {(r.doc_id, tuple(r._copies)) for r in mixing.mix(docs.repartition(2)).collect()}
     assert again == {(r.doc_id, tuple(r._copies)) for r in got}
     assert mixing.mix(empty).count() == 0

@@ -2,9 +2,10 @@
 
 Documents keep a random place u in [0, 1) from the hash of their id. A source that is to be taken f times is taken
 whole floor(f) times and then up to a threshold on u, which a radix descent on hash prefixes finds exactly. Runs of u
-are the source's blocks, already permuted by the hash. The block quotas of all sources are split in two, drawing the
-left half from the multivariate hypergeometric law, until each leaf is an output shard; a shard gets its disjoint run of
-each source's blocks and orders them by another hash.
+are the source's blocks, once for each time that it is taken; those that hold documents are counted. The exact block
+quotas of all sources are split in two, drawing the left half from the multivariate hypergeometric law, until each leaf
+is an output shard. A shard draws its blocks of a source, disjoint, from their random permutation, and orders the
+documents of all of them by another hash.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ WEIGHTS = (5, 2, 1)
 BITS = 10
 #: Documents about the threshold that may come to the driver, per source.
 NEAR = 512
+#: Blocks of an average shard.
+BLOCKS = 256
+#: Bytes of the sources' plan that may be broadcast; a larger one is joined by shuffle.
+BROADCAST = 64 << 20
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float = 2.0) -> list[float]:
@@ -65,7 +70,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     Sources in code point order, null last, get the weights in turn. _taken is 0, 1 or 2 times _size: documents are
     taken whole. A document without words is taken as often as others of its place; it counts no words. Rows with
     equal ids share their place, so they are taken alike. Each run gives the same rows. The driver holds a row for each
-    source and at most a few times NEAR documents of each. An empty table gives an empty one. Columns whose names start with
+    source, at most a few times NEAR documents of each, and the blocks: about shards * BLOCKS and a few for each source. An
+    empty table gives an empty one. Columns whose names start with
     an underscore are dropped.
     """
     spark = docs.sparkSession
@@ -83,26 +89,55 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     rest = [t - f * s if f < most else 0.0 for t, f, s in zip(aim, whole, size)]
     cuts = _thresholds(spark, sized, bins, sources, rest)
 
-    unit = max(1.0, sum(aim) / (shards * 256))
-    blocks = [max(1, math.ceil(s / unit)) for s in size]
-    u_of = lambda h: (h + 2.0**63) / 2.0**64
-    quota = [f * b + (min(b, int(u_of(c[0]) * b) + 1) if r > 0 else 0) for f, b, c, r in zip(whole, blocks, cuts, rest)]
-    tree = splitting_tree(quota, shards, seed)
-    ends = np.cumsum(tree, axis=0)
-    rows = [(s, size[i], aim[i], whole[i], cuts[i][0], cuts[i][1], blocks[i], [int(x) for x in ends[:, i]]) for i, s in enumerate(sources)]
-    plan = spark.createDataFrame(rows, "_s string, _source_size long, _target double, _whole int, _cut long, _more array<long>, _blocks long, _ends array<long>")
-    out = docs.join(F.broadcast(plan), docs["source"].eqNullSafe(plan["_s"])) if rows else docs.limit(0).crossJoin(plan)
-    out = out.withColumn("_h", place).withColumn("_size", common.words("text"))
-    times = F.col("_whole") + F.when((F.col("_h") < F.col("_cut")) | F.array_contains("_more", F.col("_h")), 1).otherwise(0)
-    block = F.least(F.floor((F.col("_h") + F.lit(2.0**63)) / F.lit(2.0**64) * F.col("_blocks")), F.col("_blocks") - 1)
-    out = out.withColumn("_times", times).withColumn("_block", block)
+    unit = max(1.0, sum(aim) / (shards * BLOCKS))
+    width = [max(1, math.ceil(s / unit)) for s in size]  # runs of u
+    first = [(s, size[i], aim[i], whole[i], cuts[i][0], cuts[i][1], width[i]) for i, s in enumerate(sources)]
+    kinds = "_s string, _source_size long, _target double, _whole int, _cut long, _more array<long>, _blocks long"
+    held = _planned(sized.withColumnRenamed("h", "_h"), spark.createDataFrame(first, kinds), sum(8 * len(c[1]) + 64 for c in cuts))
+    copies = held.where("_times > 0").select("source", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("k"), "_block")
+    blocks: list[list[tuple[int, int]]] = [[] for _ in sources]
+    number = {s: i for i, s in enumerate(sources)}
+    for r in copies.distinct().collect():
+        blocks[number[r.source]].append((r.k, r._block))
+    shard_of = draw(blocks, shards, seed)
+    rows = []
+    for f, place_of, w in zip(first, shard_of, width):
+        where = np.full((int(most), w), -1, int)
+        for (k, b), shard in place_of.items():
+            where[k, b] = shard
+        rows.append((*f, where.tolist()))
+    plan = spark.createDataFrame(rows, f"{kinds}, _places array<array<int>>")
+    out = _planned(docs.withColumn("_h", place).withColumn("_size", common.words("text")), plan, sum(8 * len(c[1]) + 4 * int(most) * w + 64 for c, w in zip(cuts, width)))
 
     def copy(k):
-        drawn = F.least(k * F.col("_blocks") + F.col("_block"), F.element_at("_ends", -1) - 1)
-        return F.struct(F.size(F.filter("_ends", lambda e: e <= drawn)).alias("shard"), F.xxhash64(F.col("_h"), k, F.lit(seed)).alias("order"))
+        shard = F.element_at(F.element_at("_places", k + 1), (F.col("_block") + 1).cast("int"))
+        return F.struct(shard.alias("shard"), F.xxhash64(F.col("_h"), k, F.lit(seed)).alias("order"))
 
     copies = F.transform(F.slice(F.array(*(F.lit(i) for i in range(int(most)))), 1, F.col("_times")), copy)
-    return out.withColumn("_taken", F.col("_times") * F.col("_size")).withColumn("_copies", copies).drop("_s", "_whole", "_cut", "_more", "_blocks", "_ends", "_h", "_times", "_block")
+    return out.withColumn("_taken", F.col("_times") * F.col("_size")).withColumn("_copies", copies).drop("_s", "_whole", "_cut", "_more", "_blocks", "_places", "_h", "_times", "_block")
+
+
+def _planned(docs: DataFrame, plan: DataFrame, size: int) -> DataFrame:
+    """docs (source, _h and others) with their source's plan, _times that each is taken, and its _block."""
+    plan = F.broadcast(plan) if size <= BROADCAST else plan
+    out = docs.join(plan, docs["source"].eqNullSafe(F.col("_s")))
+    times = F.col("_whole") + F.when((F.col("_h") < F.col("_cut")) | F.array_contains("_more", F.col("_h")), 1).otherwise(0)
+    block = F.least(F.floor((F.col("_h") + F.lit(2.0**63)) / F.lit(2.0**64) * F.col("_blocks")), F.col("_blocks") - 1)
+    return out.withColumn("_times", times).withColumn("_block", block)
+
+
+def draw(blocks: Sequence[Sequence], shards: int, seed: int) -> list[dict]:
+    """For each source the shard of each of its blocks: the tree gives a shard its number of them, a permutation which."""
+    if not blocks:
+        return []
+    ends = np.cumsum(splitting_tree([len(b) for b in blocks], shards, seed), axis=0)
+    rng = np.random.default_rng([seed, 1])
+    out = []
+    for i, own in enumerate(blocks):
+        own = sorted(own)
+        mixed = [own[j] for j in rng.permutation(len(own))]
+        out.append(dict(zip(mixed, np.searchsorted(ends[:, i], np.arange(len(own)), side="right").tolist())))
+    return out
 
 
 def _thresholds(spark, sized: DataFrame, bins: DataFrame, sources: list, rest: list[float]) -> list[tuple[int, list[int]]]:
@@ -194,3 +229,12 @@ def _choose(rows: list[tuple[int, int]], left: float) -> list[int]:
 def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each copy: the columns, with shard and order in which the shard holds it."""
     return mixed.select(*columns, F.explode("_copies").alias("_c")).select(*columns, F.col("_c.shard").alias("_shard"), F.col("_c.order").alias("_order"))
+
+
+def in_shards(mixed: DataFrame, columns: list[str], shards: int = 16) -> DataFrame:
+    """The columns of each copy, dealt to shards and put into their order: a shard is a run of partitions, so a run of files
+    when this is written, each with a range of the order."""
+    parts = max(1, -(-common.partitions(mixed.sparkSession) // shards))
+    spread = F.least(F.floor((F.col("_order") + F.lit(2.0**63)) / F.lit(2.0**64) * parts), F.lit(parts - 1))
+    rows = expand(mixed, columns).withColumn("_part", (F.col("_shard") * parts + spread).cast("int"))
+    return rows.repartitionById(shards * parts, "_part").sortWithinPartitions("_part", "_order").select(*columns)
