@@ -46,8 +46,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mixture takes a document."""
-    return mixing.expand(mixing.mix(docs.select(*COLUMNS)), list(COLUMNS)).select(*COLUMNS)
+    """A row for each time that the mixture takes a document, in the order of its shard; a shard is a run of files."""
+    return mixing.in_shards(mixing.mix(docs.select(*COLUMNS)), list(COLUMNS))
 
 
 def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
