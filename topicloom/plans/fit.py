@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +62,8 @@ def fit(entries: DataFrame, cfg: Config, niters: int = 500, merge_every: int = 1
         swept = _cut(sweep(state, cfg, start, s + 2 - start, fixed, alpha=alpha, beta=beta))
         traced.append(traces(swept).withColumn("iter", F.col("iter") + start - 1))
         state, start = swept.drop("z_prev", "trace"), s + 2
-        log.info("iter: %d", s)
+        if log.isEnabledFor(logging.INFO):
+            last_sweep(traced[-1])
         if aggregate:
             for name, now in (("nw_aggregate", ops.nw(state)), ("nd_aggregate", ops.nd(state))):
                 keys = now.columns[:-1]
@@ -76,6 +78,13 @@ def fit(entries: DataFrame, cfg: Config, niters: int = 500, merge_every: int = 1
     return tables(state, model)
 
 
+def last_sweep(trace: DataFrame) -> None:
+    """Logs how many assignments of each shard the last sweep has changed. The trace has a row a shard and sweep."""
+    last = trace.groupBy("shard").agg(F.max_by("changed", "iter").alias("changed"), F.max("iter").alias("iter"))
+    for r in sorted(last.collect(), key=lambda r: place(r.shard)):
+        log.info("label: %s time: %s iter: %d trace: %d", r.shard, datetime.now(), r.iter, r.changed)
+
+
 def one_shard(entries: DataFrame) -> DataFrame:
     """All shards as one, in natural order of their labels, null first: documents and entries are numbered on; origin keeps the label."""
     from ..functions import natural_key
