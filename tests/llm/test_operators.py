@@ -338,6 +338,36 @@ def test_html(spark, empty):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("markup", "want"),
+    [
+        ('Two <span class="ad">Buy <span>now</span> cheap</span> words.', "Two words."),
+        ('Read <a class="share" href="/s">Share <b>this</b></a> on.', "Read on."),
+        ('One <a href="/x">linked</a> word <span class="ad">never closed', "One linked word"),
+        ('<header class="entry-header"><h2>Its own heading</h2></header>', "Its own heading"),
+        ('<section class="post-header"><h2>Its own heading</h2></section>', "Its own heading"),
+        ('<div class="site-header">Our site</div>', ""),
+        ("text <!-- a > comment without an end", "text"),
+        ("one <b unended", "one <b unended"),
+    ],
+)
+def test_html_inside_an_article(markup, want):
+    prose = "This paragraph is the article, with words enough to be told from all that is around it."
+    got = html_text.read(f"<html><body><div class=page-header>Top</div><article><p>{prose}</p><div>{markup}")[0]
+    assert got.split("\n") == [prose, *([want] if want else [])]
+
+
+def test_html_that_is_deep_or_broken_takes_time_in_proportion():
+    import time
+
+    begun = time.process_time()
+    for source in ("<div>" * 100_000 + "x", "<a " * 100_000, "<center>" * 50_000 + "</b1>" * 50_000, "<p " * 50_000 + "<!--" * 50_000, "<span class=ad>" * 50_000):
+        page = html_text.Page(source)
+        assert page.best(1) == [] or page.best(1)
+    assert html_text.read("<div class=a>" * 3000 + "Some words. " * 9)[1].count("div.a") == 3000
+    assert time.process_time() - begun < 60
+
+
 def test_sharding(docs, empty, spark):
     for df in (docs, docs.unionByName(docs).unionByName(docs), spark.createDataFrame([(i, "same") for i in range(100)], "doc_id long, text string")):
         rows = sharding.label_propagation_shards(df).collect()

@@ -25,6 +25,11 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _DROPPED = frozenset("head nav footer aside form button select option template svg math object canvas audio video dialog menu input".split())
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th address summary".split())
 _SCOPES = frozenset("article main section div td th table ul ol body html nav aside header footer form blockquote dl figure".split())
+_ROWS = frozenset("li dt dd tr td th option".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Where a comment or CDATA section begins, and where an element of raw text ends.
+_OPEN = re.compile(r"<!--|<!\[CDATA\[")
+_CLOSE = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in _RAW}
 #: Words that name what surrounds an article.
 _ROUND = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets related recommended recommendations promo promos promotion"
@@ -32,67 +37,110 @@ _ROUND = frozenset(
     " subscribe subscription signup login social share sharing comment comments commentlist respond reply replies disqus form search pagination pager toolbar skip hidden".split()
 )
 _FIRST = _ROUND - {"header", "search", "form", "reply", "share", "hidden", "notice", "alert"}
+#: Of names like entry-header: what they may begin with to be an article's own heading.
+_HEADED = frozenset("article content entry page post section story title".split())
 _GOOD = frozenset("article content main post entry story body text".split())
 
 
-def _about(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """(generalised name, whether it surrounds the article, whether it says that it is the article)."""
+_HIDING = re.compile(r"display\s*:\s*none")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_DIGITS = re.compile(r"\d+")
+
+
+def _about(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """(generalised name, whether it surrounds the article, whether it says that it is the article, whether it is a
+    header, which surrounds the article unless it is inside)."""
     if not attrs.strip():
-        return tag, tag in _DROPPED, tag in ("article", "main")
+        return tag, tag in _DROPPED, tag in ("article", "main"), tag == "header"
+    header = tag == "header"
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     names = f"{got.get('class', '')} {got.get('id', '')}".split()
     away, good = tag in _DROPPED, tag in ("article", "main") or got.get("role", "").lower() in ("main", "article")
-    away |= "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", "")) is not None
+    away |= "hidden" in got or got.get("aria-hidden", "").lower() == "true" or _HIDING.search(got.get("style", "")) is not None
     away |= got.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert")
     for name in names:
-        parts = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
+        parts = [w.lower() for w in _PARTS.findall(name)]
         if not parts or parts[0] in ("has", "with", "no", "is", "without"):
             continue
+        if parts[-1] == "header" and parts[0] in _HEADED:
+            header = True
+            continue
         away |= parts[-1] in _ROUND or parts[0] in _FIRST
         good |= parts[-1] in _GOOD
-    general = sorted({re.sub(r"\d+", "", c.lower()) for c in got.get("class", "").split()} - {""})
-    return ".".join([tag, *general]), away and tag not in ("html", "body", "article", "main"), good
+    general = sorted({_DIGITS.sub("", c.lower()) for c in got.get("class", "").split()} - {""})
+    return ".".join([tag, *general]), away and tag not in ("html", "body", "article", "main"), good, header
 
 
 class Page:
-    """Blocks of text (text, link characters, heading, container) in page order, and containers (parent, path, good)."""
+    """Blocks of text (text, link characters, heading, container) in page order, and containers.
+
+    A container has a parent, whether it says that it is the article, and a path: the number of a path in a tree of names,
+    so that deep pages do not hold long paths. Work and memory are in proportion to the page.
+    """
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, bool, int]] = []
-        self.parents, self.paths, self.good = [-1], [""], [False]
+        self.parents, self.paths, self.good = [-1], [0], [False]
+        # of each path: the one above, its own name, its depth and length; path 0 is the page
+        self.above, self.names, self.depths, self.sizes = [-1], [""], [0], [0]
+        self.numbers: dict[tuple[int, str], int] = {}
         self._read(source)
 
+    def _path(self, above: int, name: str) -> int:
+        if (got := self.numbers.setdefault((above, name), len(self.names))) == len(self.names):
+            self.above.append(above)
+            self.names.append(name)
+            self.depths.append(self.depths[above] + 1)
+            self.sizes.append(self.sizes[above] + len(name) + (above > 0))
+        return got
+
+    def name(self, path: int) -> str:
+        """The names from the page down to the path, parted by >."""
+        out = []
+        while path > 0:
+            out.append(self.names[path])
+            path = self.above[path]
+        return ">".join(reversed(out))
+
     def _read(self, s: str) -> None:
-        # open elements: (tag, container, dropped)
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        # open elements: (tag, container, dropped, inside an article); how many are open of each tag
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        count: dict[str, int] = {}
         text: list[str] = []
         link, in_link = 0, False
+        hidden: list | None = None  # an inline element that is left out: its tag, open ones of it, and the stack below it
 
         def flush() -> None:
             nonlocal link
             if text:
                 joined = " ".join(html.unescape("".join(text)).split())
                 if joined and not stack[-1][2]:
-                    leaf = next((t for t, _, _ in reversed(stack) if t), "")
-                    self.blocks.append((joined, min(link, len(joined)), leaf in ("h1", "h2", "h3", "h4", "h5", "h6"), stack[-1][1]))
+                    self.blocks.append((joined, min(link, len(joined)), stack[-1][0] in _HEADINGS, stack[-1][1]))
                 text.clear()
             link = 0
 
         def close_to(k: int) -> None:
+            nonlocal hidden
             flush()
+            for tag, *_ in stack[k:]:
+                count[tag] -= 1
             del stack[k:]
+            if hidden and len(stack) < hidden[2]:
+                hidden = None
 
-        at = 0
+        at, end = 0, s.rfind(">") + 1  # no tag ends behind the last >
         while True:
-            m = _TAG.search(s, at)
-            piece = s[at : m.start()] if m else s[at:]
-            if piece and not stack[-1][2]:
+            m = _TAG.search(s, at, end) if at < end else None
+            piece = s[at : m.start()] if m else _OPEN.split(s[at:], maxsplit=1)[0]
+            if piece and not stack[-1][2] and not hidden:
                 text.append(piece)
                 if in_link:
                     link += len(piece.strip())
             if not m:
                 break
             at = m.end()
+            if at == end and _OPEN.match(m[0]) and not m[0].endswith(("-->", "]]>")):
+                break  # a comment without an end
             tag = (m[2] or m[5] or "").lower()
             if not tag:
                 continue
@@ -102,22 +150,23 @@ class Page:
                 if tag != "wbr":
                     text.append(" ")
                 continue
-            if tag in _INLINE and not closing and tag != "a":
-                if attrs and _about(tag, attrs)[1]:  # a hidden or advertising span
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(s, at)
-                    at = end.end() if end else at
-                continue
-            if tag == "a":
-                in_link = not closing
+            if hidden and tag == hidden[0]:
+                hidden[1] += -1 if closing else 1
+                if not hidden[1]:
+                    hidden = None
                 continue
             if tag in _INLINE:
+                if not closing and not hidden and attrs and _about(tag, attrs)[1]:  # a hidden or advertising span, a link to share
+                    hidden = [tag, 1, len(stack)]
+                elif tag == "a":
+                    in_link = not closing
                 continue
             if tag in _RAW and not closing:
-                end = re.compile(rf"</{tag}[\s/>]", re.I).search(s, at)
-                at = end.start() if end else len(s)
+                close = _CLOSE[tag].search(s, at)
+                at = close.start() if close else len(s)
                 continue
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if count.get(tag) else ():
                     if stack[k][0] == tag:
                         close_to(k)
                         break
@@ -131,24 +180,26 @@ class Page:
             if tag in _VOID:
                 continue
             # an open paragraph or heading ends where another block starts; a list item where the next one does
-            for k in range(len(stack) - 1, 0, -1):
+            ends = tag in _ROWS and count.get(tag) or any(map(count.get, ("p", *_HEADINGS)))
+            for k in range(len(stack) - 1, 0, -1) if ends else ():
                 top = stack[k][0]
-                if top == "p" or top == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option") or top in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in _LEAVES:
+                if top == "p" or top == tag and tag in _ROWS or top in _HEADINGS and tag in _LEAVES:
                     close_to(k)
                     break
                 if top in _SCOPES:
                     break
-            name, away, good = _about(tag, attrs)
-            _, container, dropped = stack[-1]
-            inside = any(t in ("article", "main") for t, _, _ in stack)
-            dropped |= away or tag == "header" and not inside
+            name, away, good, header = _about(tag, attrs)
+            _, container, dropped, inside = stack[-1]
+            dropped |= away or header and not inside or hidden is not None
+            inside |= tag in ("article", "main")
+            count[tag] = count.get(tag, 0) + 1
             if tag in _LEAVES and tag != "blockquote":
-                stack.append((tag, container, dropped))
+                stack.append((tag, container, dropped, inside))
             else:
                 self.parents.append(container)
-                self.paths.append(f"{self.paths[container]}>{name}" if container else name)
+                self.paths.append(self._path(self.paths[container], name))
                 self.good.append(good)
-                stack.append((tag, len(self.parents) - 1, dropped))
+                stack.append((tag, len(self.parents) - 1, dropped, inside))
         flush()
 
     def scores(self) -> list[int]:
@@ -164,14 +215,15 @@ class Page:
     def best(self, n: int = 3) -> list[tuple[str, int]]:
         """The n containers of the highest scores, deeper ones first among equals: (path, share of the best in 1000)."""
         scores = self.scores()
-        order = sorted((k for k in range(1, len(scores)) if scores[k] > 0), key=lambda k: (-scores[k], -self.paths[k].count(">"), k))[:n]
-        return [(self.paths[k], 1000 * scores[k] // max(1, scores[order[0]])) for k in order]
+        order = sorted((k for k in range(1, len(scores)) if scores[k] > 0), key=lambda k: (-scores[k], -self.depths[self.paths[k]], k))[:n]
+        return [(self.name(self.paths[k]), 1000 * scores[k] // max(1, scores[order[0]])) for k in order]
 
     def text(self, path: str) -> str | None:
         """The blocks in containers of the path, None if the page has none such."""
         inside = [False] * len(self.parents)
+        is_it = [k > 0 and self.sizes[k] == len(path) and self.name(k) == path for k in range(len(self.names))]
         for k in range(1, len(inside)):
-            inside[k] = self.paths[k] == path or inside[self.parents[k]]
+            inside[k] = is_it[self.paths[k]] or inside[self.parents[k]]
         return "\n".join(t for t, _, _, c in self.blocks if inside[c]) if any(inside) else None
 
 
