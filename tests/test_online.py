@@ -78,8 +78,8 @@ def test_online_fits_are_the_scan(spark, tmp_path, omega):
 
 
 def test_registered_online_fit_is_the_scan(spark):
-    entries, terms = q._entries(spark, SF, "weeks"), q._terms(spark, SF, "weeks").count()
-    want = plain(entries, Config(q.K, terms, q.ALPHA, q.BETA, seed=q.SEED), 2, q.OMEGA)
+    weeks = q.Corpus(spark, SF, "weeks")
+    want = plain(weeks.entries, Config(q.K, weeks.size, q.ALPHA, q.BETA, seed=q.SEED), 2, q.OMEGA)
     got = counts(q.QUERIES["online_fit"](spark, SF))
     assert got == want and len({t for t, _, _ in got}) > 1
 

@@ -32,4 +32,4 @@ def shard_label(file_name: Column) -> Column:
 def natural_key(label: Column) -> Column:
     """Sorts digits by value and the rest by text: array of (text before a number, number)."""
     parts = F.regexp_extract_all(label, F.lit(r"([^0-9]*)([0-9]*)"), F.lit(0))
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^([^0-9]*)", 1).alias("text"), F.coalesce(F.expr("try_cast(null as bigint)"), F.regexp_extract(p, r"([0-9]*)$", 1).try_cast("bigint"), F.lit(-1)).alias("number")))
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^([^0-9]*)", 1).alias("text"), F.coalesce(F.regexp_extract(p, r"([0-9]*)$", 1).try_cast("bigint"), F.lit(-1)).alias("number")))

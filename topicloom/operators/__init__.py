@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,14 +29,19 @@ def zprob(prior: DataFrame) -> DataFrame:
 def init_z(entries: DataFrame, p: DataFrame, seed: int, *key: Column | str) -> DataFrame:
     """entries with z drawn from the term's probabilities p (k, term_id, p), with the uniform of key, sweep 0 and seed."""
     packed = p.groupBy("term_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x.p).alias("p"))
-    z = draw(running(F.col("p")), uniform(*key, 0, seed)).cast("int")
-    return entries.join(packed, "term_id").withColumn("z", z).drop("p")
+    packed = packed.select("term_id", running(F.col("p")).alias("_cumulative"))  # once a term, not once an entry
+    z = draw(F.col("_cumulative"), uniform(*key, 0, seed)).cast("int")
+    return entries.join(packed, "term_id").withColumn("z", z).drop("_cumulative")
 
 
 def init_z_uniform(entries: DataFrame, topics: int, seed: int, *key: Column | str) -> DataFrame:
     """The same with equal probabilities, without a join."""
-    cumulative = running(F.array(*(F.lit(1.0 / topics) for _ in range(topics))))
-    return entries.withColumn("z", draw(cumulative, uniform(*key, 0, seed)).cast("int"))
+    cumulative, u = list(accumulate([1.0 / topics] * topics)), uniform(*key, 0, seed)
+    if topics <= 32:  # plain comparisons are compiled, functions of arrays are not
+        z = sum(((F.lit(c) <= u).cast("int") for c in cumulative[:-1]), F.lit(0))
+    else:
+        z = draw(F.array(*(F.lit(c) for c in cumulative)), u)
+    return entries.withColumn("z", z.cast("int"))
 
 
 def nd(entries: DataFrame) -> DataFrame:

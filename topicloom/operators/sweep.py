@@ -118,21 +118,22 @@ def sweep(entries: DataFrame, cfg: Config, first: int = 1, sweeps: int = 1, fixe
             if any(x is None or None in x for xs in own.values() for x in xs):
                 raise ValueError("alpha or beta lacks a document, a term or a topic")
             a, b = (own.get(name, [None] * len(docs)) for name in ("_a", "_b"))
-            for v, w in zip(terms, t.column("_w").to_pylist()):
-                scan.nw.setdefault(v, w)
-            us = t.column("_u").to_pylist()
+            of_term = {v: i for i, v in enumerate(terms)}
+            some = t.column("_w").combine_chunks().take(pa.array(list(of_term.values()), pa.int64()))
+            scan.nw = dict(zip(of_term, some.to_pylist()))
+            us = t.column("_u").combine_chunks().flatten().to_numpy().reshape(-1, sweeps).T.tolist()
             nd: dict = {}
             size: dict = {}
             for d, c, z in zip(docs, counts, zs):
                 nd.setdefault(d, [0] * cfg.topics)[z] += c
                 size[d] = size.get(d, 0) + c
-            before, trace = list(zs), [[] for _ in zs]
+            before, trace = zs, np.zeros((len(zs), sweeps), np.int32)
             for s in range(sweeps):
-                before = list(zs)
-                for i, (d, v, c) in enumerate(zip(docs, terms, counts)):
-                    zs[i] = scan.step(v, c, zs[i], us[i][s], nd[d], size[d] - c, a[i], b[i])
-                    trace[i].append(int(zs[i] != before[i]))
-            cols = [t.column(c).combine_chunks() for c in names] + [pa.array(before, pa.int32()), pa.array(zs, pa.int32()), pa.array(trace, pa.list_(pa.int32()))]
+                before = zs
+                zs = [scan.step(v, c, z, u, nd[d], size[d] - c, x, y) for d, v, c, z, u, x, y in zip(docs, terms, counts, before, us[s], a, b)]
+                trace[:, s] = np.not_equal(zs, before)
+            changed = pa.ListArray.from_arrays(pa.array(np.arange(0, trace.size + 1, sweeps, dtype=np.int32)), pa.array(trace.reshape(-1)))
+            cols = [t.column(c).combine_chunks() for c in names] + [pa.array(before, pa.int32()), pa.array(zs, pa.int32()), changed]
             return pa.RecordBatch.from_arrays(cols, names=names + ["z_prev", "z", "trace"])
 
         for batch in batches:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from .. import operators as ops
 from ..functions import natural_key, shard_label
 from ..operators.sweep import Config, sweep, traces
 from ..sources import entries, rebase, text_triplets, triplets, vocabulary
+from ..sources.store import shared_dir, stored
 from .fit import one_shard, schedule
 
 K, ALPHA, BETA, SEED, OMEGA = 4, 1.0, 1.0, 7, 0.5
@@ -34,16 +36,34 @@ def _counts(spark, d, table="documents") -> DataFrame:
     return triplets(_load(spark, d, "lineitem"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")), F.col("l_suppkey"), F.col("l_partkey"))
 
 
-def _terms(spark, d, table="documents") -> DataFrame:
-    return vocabulary(_counts(spark, d, table))
+class Corpus:
+    """The tables that a query needs of one source; those that several of its steps read are written once."""
 
+    def __init__(self, spark: SparkSession, d: str, table: str = "documents"):
+        self.spark, self.d, self.table = spark, d, table
 
-def _entries(spark, d, table="documents") -> DataFrame:
-    return entries(_counts(spark, d, table), _terms(spark, d, table))
+    @cached_property
+    def counts(self) -> DataFrame:
+        return stored(_counts(self.spark, self.d, self.table), "counts")
 
+    @cached_property
+    def terms(self) -> DataFrame:
+        return stored(vocabulary(self.counts), "terms")
 
-def _state(spark, d, table="documents") -> DataFrame:
-    return ops.init_z_uniform(_entries(spark, d, table), K, SEED, "shard", "doc_id", "term_id")
+    @cached_property
+    def size(self) -> int:
+        return self.terms.count()
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return entries(self.counts, self.terms)
+
+    @cached_property
+    def state(self) -> DataFrame:
+        return ops.init_z_uniform(self.entries, K, SEED, "shard", "doc_id", "term_id")
+
+    def config(self, **more) -> Config:
+        return Config(K, self.size, ALPHA, BETA, seed=SEED, **more)
 
 
 SOURCE = {
@@ -92,12 +112,12 @@ long = lambda c: F.col(c).cast("long").alias(c)
 
 @query("dtm_counts", _sql("SELECT shard, doc_id, term_id, n FROM ent"))
 def dtm_counts(spark, d):
-    return _entries(spark, d).select("shard", "doc_id", long("term_id"), F.col("count").alias("n"))
+    return Corpus(spark, d).entries.select("shard", "doc_id", long("term_id"), F.col("count").alias("n"))
 
 
 @query("dtm_vocab", _sql("SELECT term, tf, term_id FROM voc"))
 def dtm_vocab(spark, d):
-    return _terms(spark, d)
+    return vocabulary(_counts(spark, d))
 
 
 @query("dtm_dims", _sql("SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM voc) AS terms, (SELECT count(*) FROM ent) AS entries, (SELECT sum(n)::BIGINT FROM ent) AS tokens"))
@@ -132,14 +152,14 @@ def natural_order(spark, d):
 
 @query("doc_rebase", _sql("SELECT shard, entry_id, doc_id - min(doc_id) OVER (PARTITION BY shard) AS doc_id, term_id::INT AS term_id, n::INT AS n FROM ent"))
 def doc_rebase(spark, d):
-    return rebase(_entries(spark, d)).select("shard", "entry_id", "doc_id", F.col("term_id").cast("int"), F.col("count").cast("int").alias("n"))
+    return rebase(Corpus(spark, d).entries).select("shard", "entry_id", "doc_id", F.col("term_id").cast("int"), F.col("count").cast("int").alias("n"))
 
 
 # ---- start of z
 
 @query("init_zprob", _sql("SELECT k::INT AS k, term_id, round(p, 9) AS p FROM (SELECT k, term_id, prior / sum(prior) OVER (PARTITION BY term_id) AS p FROM (SELECT k, term_id, (tf * (k + 1) + 1)::DOUBLE AS prior FROM voc, range(4) r(k)))"))
 def init_zprob(spark, d):
-    terms = _terms(spark, d)
+    terms = Corpus(spark, d).terms
     history = terms.select("term_id", "tf", F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("k")).select("k", "term_id", (F.col("tf") * (F.col("k") + 1)).alias("n"))
     p = ops.zprob(ops.zprior(terms, K, BETA, history))
     return p.select("k", "term_id", F.round("p", 9).alias("p"))
@@ -147,73 +167,74 @@ def init_zprob(spark, d):
 
 @query("init_z", _sql("SELECT shard, entry_id, doc_id, term_id, z FROM st0"))
 def init_z(spark, d):
-    p = ops.zprob(ops.zprior(_terms(spark, d), K, BETA))
-    return ops.init_z(_entries(spark, d), p, SEED, "shard", "doc_id", "term_id").select("shard", "entry_id", "doc_id", "term_id", "z")
+    corpus = Corpus(spark, d)
+    p = ops.zprob(ops.zprior(corpus.terms, K, BETA))
+    return ops.init_z(corpus.entries, p, SEED, "shard", "doc_id", "term_id").select("shard", "entry_id", "doc_id", "term_id", "z")
 
 
 # ---- counts
 
 @query("nd_counts", _sql("SELECT shard, doc_id, z AS k, sum(n)::BIGINT AS n FROM st0 GROUP BY ALL"))
 def nd_counts(spark, d):
-    return ops.nd(_state(spark, d))
+    return ops.nd(Corpus(spark, d).state)
 
 
 @query("ndsum", _sql("SELECT shard, doc_id, sum(n)::BIGINT AS n FROM st0 GROUP BY ALL"))
 def ndsum(spark, d):
-    return ops.ndsum(_state(spark, d))
+    return ops.ndsum(Corpus(spark, d).state)
 
 
 @query("nw_counts", _sql("SELECT z AS k, term_id, sum(n)::BIGINT AS n FROM st0 GROUP BY ALL"))
 def nw_counts(spark, d):
-    return ops.nw(_state(spark, d))
+    return ops.nw(Corpus(spark, d).state)
 
 
 @query("nwsum", _sql("SELECT z AS k, sum(n)::BIGINT AS n FROM st0 GROUP BY ALL"))
 def nwsum(spark, d):
-    return ops.nwsum(_state(spark, d))
+    return ops.nwsum(Corpus(spark, d).state)
 
 
 _ND = "nd AS (SELECT g.shard, g.doc_id, r.k::INT AS k, coalesce(x.n, 0)::BIGINT AS n FROM (SELECT DISTINCT shard, doc_id FROM ent) g CROSS JOIN range(4) r(k) LEFT JOIN (SELECT shard, doc_id, z, sum(n) AS n FROM st0 GROUP BY ALL) x ON x.shard IS NOT DISTINCT FROM g.shard AND x.doc_id = g.doc_id AND x.z = r.k)"
 _NW = "nw AS (SELECT r.k::INT AS k, v.term_id, coalesce(x.n, 0)::BIGINT AS n FROM voc v CROSS JOIN range(4) r(k) LEFT JOIN (SELECT z, term_id, sum(n) AS n FROM st0 GROUP BY ALL) x ON x.term_id = v.term_id AND x.z = r.k)"
 
 
-def _nd_dense(spark, d):
-    state = _state(spark, d)
-    return ops.dense(ops.nd(state), state.select("shard", "doc_id").distinct(), K)
+def _nd_dense(corpus: Corpus) -> DataFrame:
+    return ops.dense(ops.nd(corpus.state), corpus.counts.select("shard", "doc_id").distinct(), K)
 
 
-def _nw_dense(spark, d):
-    return ops.dense(ops.nw(_state(spark, d)), _terms(spark, d).select("term_id"), K)
+def _nw_dense(corpus: Corpus) -> DataFrame:
+    return ops.dense(ops.nw(corpus.state), corpus.terms.select("term_id"), K)
 
 
 @query("nd_dense", _sql("").rstrip() + f",\n{_ND} SELECT shard, doc_id, k, n FROM nd")
 def nd_dense(spark, d):
-    return _nd_dense(spark, d).select("shard", "doc_id", "k", "n")
+    return _nd_dense(Corpus(spark, d)).select("shard", "doc_id", "k", "n")
 
 
 @query("nw_dense", _sql("").rstrip() + f",\n{_NW} SELECT k, term_id, n FROM nw")
 def nw_dense(spark, d):
-    return _nw_dense(spark, d).select("k", "term_id", "n")
+    return _nw_dense(Corpus(spark, d)).select("k", "term_id", "n")
 
 
 @query("full_expand", _sql("SELECT shard, doc_id, z AS k, count(*) AS n FROM (SELECT *, unnest(range(n)) AS copy FROM st0) GROUP BY ALL"))
 def full_expand(spark, d):
-    return ops.tokens(_state(spark, d)).groupBy("shard", "doc_id", F.col("z").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return ops.tokens(Corpus(spark, d).state).groupBy("shard", "doc_id", F.col("z").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("prior_sums", _sql("SELECT 'alpha' AS kind, doc_id AS id, 4.0::DOUBLE AS total FROM documents UNION ALL SELECT 'beta', r.k, (SELECT count(*) FROM voc)::DOUBLE FROM range(4) r(k)"))
 def prior_sums(spark, d):
-    return ops.prior_sums(_load(spark, d, "documents"), K, _terms(spark, d).count(), ALPHA, BETA)
+    return ops.prior_sums(_load(spark, d, "documents"), K, Corpus(spark, d).size, ALPHA, BETA)
 
 
 @query("post_theta", _sql("").rstrip() + f",\n{_ND} SELECT shard, doc_id, k, round((n + 1.0::DOUBLE) / (sum(n) OVER (PARTITION BY shard, doc_id) + 4.0::DOUBLE), 9) AS theta FROM nd")
 def post_theta(spark, d):
-    return ops.theta(_nd_dense(spark, d), K, ALPHA).withColumn("theta", F.round("theta", 9))
+    return ops.theta(_nd_dense(Corpus(spark, d)), K, ALPHA).withColumn("theta", F.round("theta", 9))
 
 
 @query("post_phi", _sql("").rstrip() + f",\n{_NW} SELECT k, term_id, round((n + 1.0::DOUBLE) / (sum(n) OVER (PARTITION BY k) + (SELECT count(*) FROM voc)::DOUBLE), 9) AS phi FROM nw")
 def post_phi(spark, d):
-    return ops.phi(_nw_dense(spark, d), _terms(spark, d).count(), BETA).withColumn("phi", F.round("phi", 9))
+    corpus = Corpus(spark, d)
+    return ops.phi(_nw_dense(corpus), corpus.size, BETA).withColumn("phi", F.round("phi", 9))
 
 
 # ---- sweeps; SQL walks each scan with a recursive query
@@ -236,7 +257,6 @@ e0 AS (SELECT 'all' AS shard, shard || ',' || doc_id AS dk, doc_id + off AS doc_
         key = ("shard", "doc_id", "term_id", "copy") if token else ("origin", "d0", "term_id") if one else ("shard", "doc_id", "term_id")
         scan = "shard, doc_id" if fixed else "shard"
         sid = "dk" if fixed else "shard"
-        grouped = lambda f: f"(SELECT {f})"  # noqa: E731, F841
         sql += f"""nwl{s} AS (SELECT list(n ORDER BY k, term_id) AS nw FROM (SELECT r.k, v.term_id, coalesce(x.n, 0)::BIGINT AS n FROM voc v CROSS JOIN range(4) r(k) LEFT JOIN (SELECT z, term_id, sum(n) AS n FROM {a} GROUP BY ALL) x ON x.term_id = v.term_id AND x.z = r.k)),
 nsl{s} AS (SELECT list(n ORDER BY k) AS ns FROM (SELECT r.k, coalesce(sum(n), 0)::BIGINT AS n FROM range(4) r(k) LEFT JOIN {a} ON z = r.k GROUP BY r.k)),
 nds{s} AS (SELECT dk, list(n ORDER BY k) AS nd0, sum(n)::BIGINT AS total FROM (SELECT g.dk, r.k, coalesce(x.n, 0)::BIGINT AS n FROM (SELECT DISTINCT dk FROM {a}) g CROSS JOIN range(4) r(k) LEFT JOIN (SELECT dk, z, sum(n) AS n FROM {a} GROUP BY ALL) x ON x.dk = g.dk AND x.z = r.k) GROUP BY dk),
@@ -276,20 +296,17 @@ FROM r{s} p JOIN {joined} e ON e.sid = p.sid AND e.i = p.i + 1, vn))))))),
     return sql.rstrip().rstrip(",") + "\n" + (select or f"SELECT shard, entry_id, doc_id, term_id, z_prev, z FROM e{sweeps}").replace("{e}", f"e{sweeps}")
 
 
-def _config(spark, d, table="events", **more) -> Config:
-    return Config(K, _terms(spark, d, table).count(), ALPHA, BETA, seed=SEED, **more)
-
-
-def _swept(spark, d, table="events", sweeps=1, token=False, one=False, fixed=False, vector=False, first=1) -> DataFrame:
-    state = _state(spark, d, table)
+def _swept(spark, d, table="events", sweeps=1, token=False, fixed=False, vector=False, first=1) -> DataFrame:
+    corpus = Corpus(spark, d, table)
+    state = stored(corpus.state, "state")
     more: dict = {"vector": vector}
     if token:
-        state, more["key"] = ops.tokens(state), ("shard", "doc_id", "term_id", "copy")
-    if one:
-        state, more["key"] = ops.init_z_uniform(one_shard(_entries(spark, d, table)), K, SEED, "origin", F.col("doc_id") - 0, "term_id"), ("origin", "doc_id", "term_id")
-    cfg = _config(spark, d, table, **more)
+        state, more["key"] = stored(ops.tokens(state), "tokens"), ("shard", "doc_id", "term_id", "copy")
+    cfg = corpus.config(**more)
     for s in range(first, first + sweeps):
-        state = sweep(state if s == first else state.drop("z_prev", "trace"), cfg, s, 1, ops.nw(state) if fixed else None)
+        if s > first:
+            state = stored(state.drop("z_prev", "trace"), "state")
+        state = sweep(state, cfg, s, 1, ops.nw(state) if fixed else None)
     return state
 
 
@@ -326,7 +343,7 @@ ORACLE_SQL |= {
 
 def _merged(spark, d) -> DataFrame:
     """The merge from each shard's counts, which are those before with the shard's own changes."""
-    swept = _swept(spark, d)
+    swept = stored(_swept(spark, d), "swept")
     before = ops.nw(swept.withColumn("z", F.col("z_prev")))
     own = swept.select("shard", F.col("z").alias("k"), "term_id", F.col("count").alias("n")).union(swept.select("shard", "z_prev", "term_id", -F.col("count")))
     shards = swept.select("shard").distinct()
@@ -336,28 +353,33 @@ def _merged(spark, d) -> DataFrame:
 
 @query("gibbs_seq_pass", _sweep_sql(one=True))
 def gibbs_seq_pass(spark, d):
-    rows = one_shard(_entries(spark, d, "events"))
-    sizes = ops.offsets(_entries(spark, d, "events").groupBy("shard").agg((F.max("doc_id") + 1).alias("docs")), [natural_key(F.col("shard")), F.col("shard")])
+    corpus = Corpus(spark, d, "events")
+    held = stored(corpus.entries, "entries")
+    rows = one_shard(held)
+    sizes = ops.offsets(held.groupBy("shard").agg((F.max("doc_id") + 1).alias("docs")), [natural_key(F.col("shard")), F.col("shard")])
     rows = rows.join(F.broadcast(sizes.select(F.col("shard").alias("origin"), "offset")), "origin").withColumn("d0", F.col("doc_id") - F.col("offset")).drop("offset")  # a row per day
     state = ops.init_z_uniform(rows, K, SEED, "origin", "d0", "term_id")
-    return _assigned(sweep(state, _config(spark, d, key=("origin", "d0", "term_id"))))
+    return _assigned(sweep(stored(state, "state"), corpus.config(key=("origin", "d0", "term_id"))))
 
 
 @query("merge_models", _sql("SELECT 'all' AS shard, row_number() OVER (ORDER BY regexp_extract(shard, '([0-9]+)$', 1)::BIGINT, entry_id) - 1 AS entry_id, doc_id + off AS doc_id, term_id, n, shard AS origin FROM ent JOIN (SELECT shard, coalesce(sum(docs) OVER (ORDER BY regexp_extract(shard, '([0-9]+)$', 1)::BIGINT ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM (SELECT shard, max(doc_id) + 1 AS docs FROM ent GROUP BY shard)) USING (shard)"))
 def merge_models(spark, d):
-    return one_shard(_entries(spark, d)).withColumnRenamed("count", "n")
+    return one_shard(Corpus(spark, d).entries).withColumnRenamed("count", "n")
 
 
 @query("finagg", _sweep_sql(2, select="SELECT shard, doc_id, k, sum(n)::BIGINT AS n FROM (SELECT shard, doc_id, z AS k, n FROM e1 UNION ALL SELECT shard, doc_id, z, n FROM e2) GROUP BY ALL"))
 def finagg(spark, d):
-    one, two = ops.nd(_swept(spark, d)), ops.nd(_swept(spark, d, sweeps=2))
+    corpus = Corpus(spark, d, "events")
+    cfg = corpus.config()
+    first = stored(sweep(stored(corpus.state, "state"), cfg, 1).drop("z_prev", "trace"), "state")
+    one, two = ops.nd(first), ops.nd(sweep(first, cfg, 2))
     return one.unionByName(two).groupBy("shard", "doc_id", "k").agg(F.sum("n").alias("n"))
 
 
 # ---- online: days of events in order of time
 
 def _history(spark, d) -> DataFrame:
-    state = _state(spark, d, "events")
+    state = stored(Corpus(spark, d, "events").state, "state")
     days = state.select("shard").distinct().withColumn("t", F.row_number().over(Window.orderBy(natural_key(F.col("shard")), "shard")) - 1)
     return state.join(F.broadcast(days), "shard").groupBy("t", F.col("z").alias("k"), "term_id").agg(F.sum("count").alias("n"))  # a row per day
 
@@ -371,7 +393,7 @@ def _online_sql(select: str, table: str = "events") -> str:
 
 @query("online_zprior", _online_sql("SELECT r.k::INT AS k, v.term_id, coalesce(sum(h.n), 0)::DOUBLE + 1.0::DOUBLE AS prior FROM voc v CROSS JOIN range(4) r(k) LEFT JOIN hist h ON h.term_id = v.term_id AND h.k = r.k GROUP BY ALL"))
 def online_zprior(spark, d):
-    return ops.zprior(_terms(spark, d, "events"), K, BETA, _history(spark, d)).select("k", "term_id", "prior")
+    return ops.zprior(Corpus(spark, d, "events").terms, K, BETA, _history(spark, d)).select("k", "term_id", "prior")
 
 
 @query("online_prior", _online_sql("SELECT b.t, a.k, a.term_id, round(sum(a.n * pow(0.5::DOUBLE, b.t - a.t)), 6) AS n FROM hist a JOIN (SELECT DISTINCT t FROM hist) b ON b.t > a.t GROUP BY ALL"))
@@ -400,20 +422,12 @@ def _streamed(spark, d, niters: int) -> DataFrame:
     """(t, k, term_id, n) of the online fit over a stream of all weeks."""
     from ..streaming import history_of, start_online
 
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not conf:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        conf = tempfile.mkdtemp(prefix="stream-")
-    import uuid
-
-    root = f"{conf.rstrip('/')}/online-{uuid.uuid4().hex}"
-    rows, terms = _entries(spark, d, "weeks"), _terms(spark, d, "weeks")
+    corpus = Corpus(spark, d, "weeks")
+    root = f"{shared_dir(spark)}/online-{uuid.uuid4().hex}"
+    rows, terms = corpus.entries, corpus.terms
     rows.write.parquet(f"{root}/in")
-    terms.write.parquet(f"{root}/terms")
-    terms = spark.read.parquet(f"{root}/terms")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-    start_online(stream, terms, Config(K, terms.count(), ALPHA, BETA, seed=SEED), f"{root}/out", f"{root}/state", niters=niters, omega=OMEGA).awaitTermination()
+    start_online(stream, terms, corpus.config(), f"{root}/out", f"{root}/state", niters=niters, omega=OMEGA).awaitTermination()
     return history_of(spark, f"{root}/out").select(long("t"), F.col("k").cast("int").alias("k"), "term_id", "n")
 
 
@@ -432,8 +446,8 @@ def online_fit(spark, d):
 @query("top_terms", None)
 def top_terms(spark, d, n: int = 10):
     """The n terms of the greatest proportion of each topic, after one distributed sweep over documents."""
-    nw = ops.nw(_swept(spark, d, "documents"))
-    terms = _terms(spark, d)
+    corpus = Corpus(spark, d)
+    nw, terms = ops.nw(sweep(stored(corpus.state, "state"), corpus.config())), corpus.terms
     best = F.row_number().over(Window.partitionBy("k").orderBy(F.col("phi").desc(), "term_id"))
-    phi = ops.phi(nw, terms.count(), BETA).withColumn("place", best).where(F.col("place") <= n)
+    phi = ops.phi(nw, corpus.size, BETA).withColumn("place", best).where(F.col("place") <= n)
     return phi.join(terms, "term_id").select("k", "place", "term", F.round("phi", 9).alias("phi"))

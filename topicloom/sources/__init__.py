@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from ..functions import shard_label
 
 TRIPLETS = "doc_id long, term_id int, count int"
+#: Document ids that are numbered together.
+STRETCH = 4096
 
 
 def natural(label: str) -> list:
@@ -83,9 +85,14 @@ def triplets(df: DataFrame, shard: Column, doc: Column, term: Column) -> DataFra
 
 
 def text_triplets(docs: DataFrame, shard: Column, text: str = "text") -> DataFrame:
-    """Words of a to z in lower case."""
-    word = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z]+)"), F.lit(1)))
-    return triplets(docs.select(shard.alias("shard"), "doc_id", word.alias("term")), F.col("shard"), F.col("doc_id"), F.col("term"))
+    """Words of a to z in lower case.
+
+    Texts are dealt by shard and document before they are split: that is less to shuffle than their words, and the
+    words are then counted where they are.
+    """
+    rows = docs.select(shard.cast("string").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).repartition("shard", "doc_id")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    return rows.select("shard", "doc_id", word.alias("term")).groupBy("shard", "doc_id", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
 def vocabulary(counts: DataFrame, size: int | None = None) -> DataFrame:
@@ -103,7 +110,17 @@ def vocabulary(counts: DataFrame, size: int | None = None) -> DataFrame:
 
 
 def entries(counts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(shard, entry_id, doc_id, term_id, count), numbered within the shard by document and term."""
-    order = Window.partitionBy("shard").orderBy("doc_id", "term_id")
-    joined = counts.join(terms.select("term", "term_id"), "term")
-    return joined.select("shard", (F.row_number().over(order) - 1).cast("long").alias("entry_id"), "doc_id", "term_id", "count")
+    """(shard, entry_id, doc_id, term_id, count), numbered within the shard by document and term.
+
+    Runs of STRETCH document ids are numbered alone, so a large shard is many tasks; a row for each run says where it
+    starts in its shard.
+    """
+    run = F.coalesce(F.floor(F.col("doc_id") / STRETCH), F.lit(-(1 << 62)))  # null ids come first
+    joined = counts.join(terms.select("term", "term_id"), "term").withColumn("_run", run)
+    before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = joined.groupBy("shard", "_run").agg(F.count(F.lit(1)).alias("_n"))
+    runs = runs.select(F.col("shard").alias("_of"), F.col("_run").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    order = Window.partitionBy("shard", "_run").orderBy("doc_id", "term_id")
+    rows = joined.withColumn("_k", F.row_number().over(order) - 1)
+    rows = rows.join(runs, F.col("shard").eqNullSafe(F.col("_of")) & (F.col("_run") == F.col("_at")))
+    return rows.select("shard", (F.col("_start") + F.col("_k")).cast("long").alias("entry_id"), "doc_id", "term_id", "count")
