@@ -70,3 +70,13 @@ def test_rounds_find_all_links(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BEST", 1)
     monkeypatch.setattr(ngram_join, "TREE", 8)
     assert [r.component_id for r in ngram_join.join(df).orderBy("doc_id").collect()] == root and len(set(root)) > 4
+
+
+def test_a_pair_that_was_tried_is_not_found_again():
+    """It takes no member's place either; ids that are not there change nothing."""
+    point = ngram_join.point(np.arange(90, dtype=np.uint64))
+    ids, comps, sizes = np.array([7, 3, 5]), np.arange(3), np.full(3, 90)
+    points, side = ngram_join.aligned([point] * 3), np.full(3, 2)
+    tried = np.array([0, 0, 1]), np.array([3, 99, 5])  # 7 with 3, 3 with 5
+    a, b, more = ngram_join.survivors(ids, comps, points, sizes, side, 85, 1, tried)
+    assert set(zip(a.tolist(), b.tolist())) == {(5, 7)} and not more

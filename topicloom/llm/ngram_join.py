@@ -8,12 +8,13 @@ those as keys too. Sizes fall into bands of ratio 1/t; a document has the keys o
 
 Under a key, first every class meets the one that has most keys in common with others, the original of many copies for
 one; links found so join classes to components. Once more each key's members meet the one with most keys outside the
-first one's component. Keys that still hold several components go to count-vector R-trees: a class is the point of how
-many of its shingles fall into each of at least DIMS groups, more for large sets, so that a group has LOAD shingles at
-most on average; a node keeps its points' coordinate maxima, and the sum over coordinates of the smaller of a query's count
-and the node's maximum bounds the overlap. Points, a byte a group, are made in the first pass over the texts. A member
-gives its best candidates outside its component; those that pass the bound are verified on their sets, which are only
-made of texts that are asked for. Keys that had more candidates come again with a larger allowance until none has.
+first one's component. Keys that still hold several components go to count-vector R-trees, those with the same least
+member as one group: a class is the point of how many of its shingles fall into each of at least DIMS groups, more for
+large sets, so that a group has LOAD shingles at most on average; a node keeps its points' coordinate maxima, and the sum
+over coordinates of the smaller of a query's count and the node's maximum bounds the overlap. Points, a byte a group, are
+made in the first pass over the texts. A member gives its best candidates outside its component that no one has tried; those that pass the
+bound are verified on their sets, which are only made of texts that are asked for. Groups of keys that had more candidates
+come again with a larger allowance until none has.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,9 @@ DIMS = 128
 #: Shingles of a set in a group of its point, on average, at most.
 LOAD = 12
 FAN = 16
-#: Members of a key that one R-tree holds; keys with more are searched in pairs of blocks.
+#: Members of a group of keys that one R-tree holds; groups with more are searched in pairs of blocks.
 TREE = 1024
-#: Candidates that a member of a key gives in the first round; eight times as many in each later one.
+#: Candidates that a member of a group gives in the first round; eight times as many in each later one.
 BEST = 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -204,10 +206,11 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def survivors(ids: np.ndarray, comps: np.ndarray, points: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: int, best: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def survivors(ids: np.ndarray, comps: np.ndarray, points: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: int, best: int, tried: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
     """(smaller, larger, more): pairs of different components whose points allow a link, at most `best` of each member,
     those with the highest bound; more: some member had further ones. side: 0 or 1 for the two blocks, which are only
-    compared with each other, or 2 for members of one block compared among themselves."""
+    compared with each other, or 2 for members of one block compared among themselves. tried: (row, id) of pairs that
+    are left out and take no member's place."""
     held, asks = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     none = np.zeros(0, np.int64)
     if not len(held) or not len(asks):
@@ -215,6 +218,12 @@ def survivors(ids: np.ndarray, comps: np.ndarray, points: np.ndarray, sizes: np.
     query, row, bound = RTree(points[held], sizes[held]).search(points[asks], sizes[asks], t)
     i, j = held[row], asks[query]
     use = (comps[i] != comps[j]) & ((side[j] == 1) | (ids[i] != ids[j]))
+    if tried is not None and len(tried[0]):
+        by_id = np.argsort(ids)
+        at = by_id[np.minimum(np.searchsorted(ids, tried[1], sorter=by_id), len(ids) - 1)]
+        here = ids[at] == tried[1]
+        known, at = tried[0][here], at[here]
+        use &= ~np.isin(np.minimum(i, j) * len(ids) + np.maximum(i, j), np.minimum(known, at) * len(ids) + np.maximum(known, at))
     i, j, bound = i[use], j[use], bound[use]
     order = np.lexsort((ids[i], -bound, j))
     i, j = i[order], j[order]
@@ -398,18 +407,23 @@ def linked(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
 
     # keys that hold several components
     member = common.table(named.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp")), "ngram-members")
-    seen = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("s2"))
-    alive = seen.where("lo <> hi").groupBy("m", "s1", "s2").agg(F.min("key").alias("key"))  # equal member sets, by 128 bits, once
-    alive = common.table(alive.select("key", F.ceil(F.col("m") / TREE).cast("int").alias("blocks")), "ngram-open")
-    more = member.join(alive, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # keys with the same least member are one group: nearly equal member sets, which near copies have by the dozen, are
+    # searched once, and each member is there once
+    seen = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("group"))
+    alive = common.table(seen.where("lo <> hi").select("key", "group"), "ngram-open")
+    grouped = common.table(member.join(alive, "key").select(F.col("group").alias("key"), "node", "comp").distinct(), "ngram-groups")
+    common.release(spark)
+    blocks = grouped.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TREE).cast("int").alias("blocks"))
+    more = grouped.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
     more = more.select("key", "node", "comp", "block", F.explode(each).alias("pair")).select("key", "node", "comp", "pair.x", "pair.y", F.when(F.col("pair.x") == F.col("pair.y"), 2).when(F.col("block") == F.col("pair.x"), 0).otherwise(1).alias("side"))
     more = common.table(more, "ngram-more")
-    common.discard(member, alive, named, fame)
+    common.discard(member, alive, grouped, named, fame)
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     best = BEST
     while not more.isEmpty():
-        found = common.table(_searched(more.join(nodes.select("node", "n", "point"), "node"), threshold, best), "ngram-trees")
+        members = more.join(nodes.select("node", "n", "point"), "node").join(_known(tried), "node", "left")
+        found = common.table(_searched(members, threshold, best), "ngram-trees")
         later = common.table(found.where("b is not null").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-later")
         common.release(spark)
         if not later.isEmpty():
@@ -437,8 +451,16 @@ def _runs(a: np.ndarray, opens: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(a)]))
 
 
+def _known(tried: DataFrame) -> DataFrame:
+    """(node, known): the other nodes of its pairs (a, b); a pair is with the node that has fewer, so no list is long."""
+    ends = tried.select(F.col("a").alias("node"), F.col("b").alias("other")).union(tried.select("b", "a"))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    both = ends.join(degree, "node").join(degree.select(F.col("node").alias("other"), F.col("d").alias("e")), "other")
+    return both.where("struct(d, node) < struct(e, other)").groupBy("node").agg(F.collect_list("other").alias("known"))
+
+
 def _searched(members: DataFrame, threshold: int, best: int) -> DataFrame:
-    """Pairs (a, b) of members of a key that R-trees let through, and (key, null) of keys that have more of them."""
+    """Pairs (a, b) of members of a group that R-trees let through and that are not known, and (key, null) of groups, named by key, that have more of them."""
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -457,11 +479,13 @@ def _searched(members: DataFrame, threshold: int, best: int) -> DataFrame:
         if not len(cut):
             return
         key, ids, comps, sizes, side = (batch.column(n).to_numpy() for n in ("key", "node", "comp", "n", "side"))
-        points, out = batch.column("point"), []
+        points, known, out = batch.column("point"), batch.column("known"), []
         for i, j in zip(cut.tolist(), [*cut[1:].tolist(), batch.num_rows]):
             if (comps[i:j] != comps[i]).any():
                 held = aligned([np.frombuffer(points[k].as_buffer(), np.uint8)[8:] for k in range(i, j)])
-                a, b, more = survivors(ids[i:j], comps[i:j], held, sizes[i:j], side[i:j], threshold, best)
+                of = known.slice(i, j - i)
+                tried = np.repeat(np.arange(j - i), pc.fill_null(pc.list_value_length(of), 0).to_numpy()), of.flatten().to_numpy()
+                a, b, more = survivors(ids[i:j], comps[i:j], held, sizes[i:j], side[i:j], threshold, best, tried)
                 out.append((a, b, np.zeros(len(a), bool)))
                 if more:
                     out.append((key[i : i + 1], key[i : i + 1], np.ones(1, bool)))
@@ -469,5 +493,5 @@ def _searched(members: DataFrame, threshold: int, best: int) -> DataFrame:
             a, b, none = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=none)], names=["a", "b"])
 
-    rows = members.select("key", "x", "y", "side", "node", "comp", "n", "point").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+    rows = members.select("key", "x", "y", "side", "node", "comp", "n", "point", "known").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
     return rows.mapInArrow(forest, "a long, b long")
