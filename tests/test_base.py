@@ -194,3 +194,22 @@ def test_sql(spark, name):
     names = [c[0] for c in got.description]
     want = sorted(got.fetchall(), key=str)
     assert sorted((tuple(r) for r in q.QUERIES[name](spark, SF).select(*names).collect()), key=str) == want
+
+
+def test_tables_of_documents_are_deleted_once_the_next_is_written(spark):
+    from topicloom.sources.store import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    had = set(os.listdir(folder))
+    swept = q.QUERIES["adlda_documents"](spark, SF)
+    assert sorted(n.split("-")[0] for n in set(os.listdir(folder)) - had) == ["state", "terms"]
+    assert swept.count() == q.Corpus(spark, SF).entries.count()
+
+
+def test_a_sweep_is_the_same_in_small_chunks(spark, monkeypatch):
+    import topicloom.operators.sweep as module
+
+    state = ops.init_z_uniform(corpus(spark, 3).withColumn("shard", F.when(F.col("shard") != "p0", F.col("shard"))), 4, 7, "shard", "doc_id", "term_id")
+    whole = rows(sweep(state, Config(4, 9), 1, 2).select(F.coalesce("shard", F.lit("")), "entry_id", "z_prev", "z", "trace"))
+    monkeypatch.setattr(module, "CHUNK", 5)
+    assert whole == rows(sweep(state, Config(4, 9), 1, 2).select(F.coalesce("shard", F.lit("")), "entry_id", "z_prev", "z", "trace")) and len(whole) == 72
