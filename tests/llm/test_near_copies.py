@@ -80,3 +80,32 @@ def test_a_pair_that_was_tried_is_not_found_again():
     tried = np.array([0, 0, 1]), np.array([3, 99, 5])  # 7 with 3, 3 with 5
     a, b, more = ngram_join.survivors(ids, comps, points, sizes, side, 85, 1, tried)
     assert set(zip(a.tolist(), b.tolist())) == {(5, 7)} and not more
+
+
+def test_sets_that_link_share_a_key():
+    """Whatever is left out: sets that differ as much as a link allows, small, clipped and clustered ones too."""
+    rng = np.random.default_rng(8)
+    pairs = shared = 0
+    for threshold in (80, 85):
+        for n in [*range(1, 60), 150, 400, 1500] * 3:
+            base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            for gone in range(n):  # as many go as come, or none comes
+                for come in {0, gone}:
+                    if 100 * (n - gone) >= threshold * (n + come):
+                        last = gone, come
+            other = np.concatenate([rng.permutation(base)[last[0] :], rng.integers(0, 1 << 63, last[1], dtype=np.uint64)])
+            sets = [np.sort(base), np.sort(other)]
+            sizes = np.array([len(x) for x in sets])
+            who, key = ngram_join.keys(np.repeat([0, 1], sizes), np.concatenate(sets), sizes, threshold)
+            pairs, shared = pairs + 1, shared + bool(set(key[who == 0]) & set(key[who == 1]))
+    assert pairs == shared > 300
+
+
+def test_unrelated_sets_hardly_meet():
+    """Groups without shingles, which many sets of one size have, bring few of them under a key."""
+    rng = np.random.default_rng(9)
+    sets = [np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(2000)]
+    sizes = np.array([len(x) for x in sets])
+    _, key = ngram_join.keys(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), sizes, 80)
+    count = np.unique(key, return_counts=True)[1]
+    assert count[count > 1].sum() < 0.002 * len(key)

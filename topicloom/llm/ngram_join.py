@@ -3,8 +3,10 @@
 Shingles are hashed to 64 bits; a set is its hashes. Documents with equal sets are one class from the start. Two sets of
 sizes a and b that reach the threshold t differ in at most (a + b)(1 - t)/(1 + t) shingles. So if the shingles are dealt by
 hash into more groups than that, some group is equal in both: the hashes of groups are the keys under which classes
-meet. Groups without shingles say nothing, so there are a few groups more, and a document with many empty groups keeps
-those as keys too. Sizes fall into bands of ratio 1/t; a document has the keys of its band and of the next one.
+meet. Groups with few shingles or none are equal in many unrelated texts, so there are `spare` groups more, and each set
+leaves out as many, those with the fewest shingles, of equals the first: of the spare + 1 groups at least that are equal
+in both sets the last by this order is left out by neither. Sizes fall into bands of ratio 1/t; a document has the keys
+of its band and of the next one.
 
 Under a key, first every class meets the one that has most keys in common with others, the original of many copies for
 one; links found so join classes to components. Once more each key's members meet the one with most keys outside the
@@ -34,6 +36,8 @@ from .langid import slices
 from .rolling import Sums, mix
 
 DIMS = 128
+#: Of so many groups that may differ there is one more that is left out.
+SPARE = 8
 #: Shingles of a set in a group of its point, on average, at most.
 LOAD = 12
 FAN = 16
@@ -115,7 +119,7 @@ def keys(who: np.ndarray, h: np.ndarray, n: np.ndarray, t: int) -> tuple[np.ndar
         level = own + step
         most = edges[level + 1] - 1  # no set in the band is larger
         differ = 2 * most * (100 - t) // (100 + t)
-        spare = 2 + differ // 64
+        spare = 2 + differ // SPARE
         groups = differ + 1 + spare
         base = np.cumsum(groups) - groups
         g = ((mixed >> np.uint64(32)) * groups[who].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
@@ -126,8 +130,7 @@ def keys(who: np.ndarray, h: np.ndarray, n: np.ndarray, t: int) -> tuple[np.ndar
         total[filled] = np.add.reduceat(mixed[order], (np.cumsum(count) - count)[filled])
         text = np.repeat(np.arange(len(n)), groups)
         inner = np.arange(len(text)) - base[text]
-        empty = np.bincount(text[count == 0], minlength=len(n))
-        use = (n[text] > 0) & ((count > 0) | (empty[text] > spare[text]))
+        use = (n[text] > 0) & ~_fewest(text, count, base, spare)
         tag = (level[text] << 40 | inner).astype(np.uint64)
         key = mix(total + mix(tag) + count.astype(np.uint64))
         out_who.append(text[use])
@@ -135,6 +138,18 @@ def keys(who: np.ndarray, h: np.ndarray, n: np.ndarray, t: int) -> tuple[np.ndar
     return np.concatenate(out_who), np.concatenate(out_key)
 
 
+def _fewest(text: np.ndarray, count: np.ndarray, base: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Marks the `spare` groups of each text with the fewest shingles; 63 and more are one, the first of equals go first.
+    Groups lie text by text, from base on."""
+    count = np.minimum(count, 63)
+    upto = np.bincount(text * 64 + count, minlength=64 * len(base)).reshape(-1, 64).cumsum(axis=1)
+    last = (upto < spare[:, None]).sum(axis=1)  # the count at which not all may be left out
+    left = spare - np.where(last > 0, upto[np.arange(len(base)), last - 1], 0)
+    tied = count == last[text]
+    place = np.concatenate([[0], np.cumsum(tied)])
+    return (count < last[text]) | (tied & (place[1:] - place[base[text]] <= left[text]))
+
+
 def point(h: np.ndarray) -> np.ndarray:
     """Counts of a set's shingles by group; 255 and more are 255, which bounds nothing."""
     dims = DIMS
