@@ -109,3 +109,11 @@ def test_unrelated_sets_hardly_meet():
     _, key = ngram_join.keys(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), sizes, 80)
     count = np.unique(key, return_counts=True)[1]
     assert count[count > 1].sum() < 0.002 * len(key)
+
+
+def test_texts_that_no_one_asks_for_stay_where_they_are(spark):
+    df = spark.range(3000).selectExpr("id", "xxhash64(id) as text_hash")
+    asked = df.where("id % 60 = 7")
+    got = {r.id for r in ngram_join._maybe(df, asked).collect()}
+    assert set(range(7, 3000, 60)) <= got and len(got) < 500
+    assert not ngram_join._maybe(df, asked.limit(0)).collect()

@@ -348,7 +348,8 @@ def linked(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
             asked = asked.join(held().select("node"), "node", "left_anti")
         asked = common.table(asked.join(nodes, "node").select(*place, F.col("node").alias("want")), "ngram-asked")
         # rows that repeat both id and text count once; of texts without an id one is enough, before they are dealt out
-        texts = lean.where("doc_id is not null").union(lean.where("doc_id is null").dropDuplicates(["text_hash"])).select(*place, "text")
+        some = _maybe(lean, asked)
+        texts = some.where("doc_id is not null").union(some.where("doc_id is null").dropDuplicates(["text_hash"])).select(*place, "text")
         got = texts.join(asked, key := ["id", "none", "text_hash"]).dropDuplicates(key).select("want", "text")
         sets.append(common.table(got.mapInArrow(sets_of, "node long, hashes binary"), "ngram-sets"))
         common.discard(asked)
@@ -458,6 +459,15 @@ def linked(docs: DataFrame, width: int = 4, threshold: int = 85) -> DataFrame:
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _maybe(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The texts whose text_hash one of `asked` may have, by its last bits, so that few others are dealt out; up to 2^26
+    bits, 16 for each that is asked for, are broadcast as words of 64."""
+    mask = (1 << min(26, max(10, (16 * asked.count()).bit_length()))) - 1
+    word, bit = F.expr(f"shiftrightunsigned(text_hash & {mask}L, 6)"), F.expr("shiftleft(1L, cast(text_hash & 63L as int))")
+    told = asked.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return texts.withColumn("_word", word).join(F.broadcast(told), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def _runs(a: np.ndarray, opens: np.ndarray) -> list[tuple[int, int]]:
     """Stretches of rows of equal a, also parted where a row opens one."""
     start = np.ones(len(a), bool)
